@@ -49,6 +49,23 @@ def values(names: list[str], rows: list[tuple]) -> str:
     return f"(select * from (values {body}) as t({', '.join(names)}))"
 
 
+def _calls(text: str, name: str, build) -> str:
+    """Rewrite the calls of a function, innermost first; quotes are respected."""
+    while (at := text.rfind(name + "(")) >= 0:
+        i, deep, quoted = at + len(name), 0, False
+        while True:
+            ch = text[i]
+            if ch == "'":
+                quoted = not quoted
+            elif not quoted:
+                deep += (ch == "(") - (ch == ")")
+                if not deep:
+                    break
+            i += 1
+        text = text[:at] + build(text[at + len(name) + 1 : i]) + text[i + 1 :]
+    return text
+
+
 def for_spark(text: str) -> str:
     text = text.replace("starts_with(", "startswith(")
     return re.sub(r"listagg\(((?:[^()]|\([^()]*\))*)\)", r"listagg(\1, ',') within group (order by \1)", text)
@@ -57,8 +74,8 @@ def for_spark(text: str) -> str:
 def for_duckdb(text: str, **inputs: str) -> str:
     text = text.replace("regexp_like(", "regexp_matches(")
     text = re.sub(r"listagg\(((?:[^()]|\([^()]*\))*)\)", r"string_agg(\1, ',' order by \1)", text)
-    text = re.sub(r"replace_all\(", "regexp_replace_all(", text)
-    text = re.sub(r"regexp_replace_all\(((?:[^()]|\([^()]*\))*)\)", r"regexp_replace(\1, 'g')", text)
+    text = _calls(text, "replace_all", lambda inside: f"regexp_replace({inside}, 'g')")
+    text = text.replace("$1_$2", r"\1_\2")
     for name, body in inputs.items():
         text = text.replace("{" + name + "}", body)
     return text
