@@ -8,7 +8,7 @@ sum wins.
 
 Language profiles are counted over a bounded, documented sample of the labelled
 documents: SAMPLE documents of each language, those whose hashed ids are
-smallest, with their whole texts. Predictions read every whole text.
+smallest, with their whole texts (rows of one id count once each). Predictions read every whole text.
 """
 
 from __future__ import annotations
@@ -99,7 +99,10 @@ def held_out(doc_id: Column) -> Column:
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their n-grams (sorted), and ranks (n-gram by language; the profile length where absent)."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
+    # a hash test leaves about twice the sample of each language, so no task ranks all rows of one
+    share = labelled.groupBy("lang").agg((F.lit(2.0 * sample + 100) / F.count(F.lit(1))).alias("share"))
+    labelled = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    turn = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
     chosen = labelled.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample).select("_id", "lang")
     chosen = F.broadcast(chosen.distinct())  # at most sample rows a language
     texts = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_text"))
