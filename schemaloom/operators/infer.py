@@ -54,7 +54,12 @@ def paths(records: DataFrame, depth: int | None = None, datetimes: bool = False)
     schema, so the depth is a lower bound there; pass depth for such data.
     """
     levels = (depth_of(records) + 2) if depth is None else depth
-    now = records.select(F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("rec").alias("v"), F.lit(True).alias("open"))).alias("nodes"))
+    return paths_with(records, [], levels, datetimes)
+
+
+def paths_with(records: DataFrame, keep: list[str], levels: int, datetimes: bool = False) -> DataFrame:
+    """The same with columns of the record kept; runs on streams too."""
+    now = records.select(*keep, F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("rec").alias("v"), F.lit(True).alias("open"))).alias("nodes"))
     step = """flatten(transform(nodes, n -> case
         when not n.open or n.v is null then array(struct(n.path as path, n.parent as parent, n.v as v, false as open))
         when schema_of_variant(n.v) like 'OBJECT<%' then concat(array(struct(n.path as path, n.parent as parent, n.v as v, false as open)),
@@ -63,9 +68,9 @@ def paths(records: DataFrame, depth: int | None = None, datetimes: bool = False)
           struct(concat(n.path, '[0]') as path, cast(null as string) as parent, get(cast(n.v as array<variant>), 0) as v, true as open))
         else array(struct(n.path as path, n.parent as parent, n.v as v, false as open)) end))"""
     for _ in range(levels):
-        now = now.select(F.expr(step).alias("nodes"))
-    flat = now.select(F.explode("nodes").alias("n")).select("n.path", "n.parent", F.col("n.v").alias("v"))
-    return flat.select("path", "parent", atom("v", datetimes).alias("atom"))
+        now = now.select(*keep, F.expr(step).alias("nodes"))
+    flat = now.select(*keep, F.explode("nodes").alias("n")).select(*keep, "n.path", "n.parent", F.col("n.v").alias("v"))
+    return flat.select(*keep, "path", "parent", atom("v", datetimes).alias("atom"))
 
 
 #: From counts (path, parent, atom, n) to the merged profile (path, type_repr, n).

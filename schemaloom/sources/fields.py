@@ -28,6 +28,7 @@ class Field:
     description: str | None = None
     tags: list[str] = field(default_factory=list)
     fields: list[Field] = field(default_factory=list)
+    required: bool = False
 
 
 def rows(table: str, fields: list[Field], parent: str = "", depth: int = 0) -> list[tuple]:
