@@ -3,7 +3,7 @@
 Merging record types pairwise is commutative and associative, so a profile is a
 group-by: explode each record to (path, atom) rows, count them by path, then
 apply the collapse rule. Records are read once; children are unfolded level by
-level inside the row, so the shuffle carries one partial row per path and task.
+level without a shuffle, so the only one carries one partial row per path and task.
 """
 
 from __future__ import annotations
@@ -11,29 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.plans.dialect import run
-
 # ISO 8601 shapes of timestamps, dates and times.
 TIMESTAMP = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 TIME = "^[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?$"
 
 
-def atom(v: str, datetimes: bool = False) -> Column:
-    """The atom of a VARIANT column."""
-    kind = F.expr(f"schema_of_variant({v})")
-    text = F.expr(f"try_variant_get({v}, '$', 'string')")
-    scale, precision = F.regexp_extract(kind, r"DECIMAL\([0-9]+,([0-9]+)\)", 1), F.regexp_extract(kind, r"DECIMAL\(([0-9]+),", 1)
-    whole = kind.startswith("DECIMAL") & (scale == "0") & (precision.cast("int") >= 19)  # shorter whole numbers are BIGINT
+NODES = "array<struct<path:string,parent:string,atom:string>>"
+
+
+def atom(v: str, kind: str, datetimes: bool = False) -> Column:
+    """The atom of a VARIANT column whose schema text stands in column kind."""
+    kind, text = F.col(kind), F.expr(f"try_variant_get({v}, '$', 'string')")
     plain = F.when(text == "", "empty_string")
     if datetimes:
         trimmed = F.trim(text)
         plain = plain.when(trimmed.rlike(TIMESTAMP), "timestamp").when(trimmed.rlike(DATE), "date").when(trimmed.rlike(TIME), "time")
+    bare = F.expr(f"variant_get({v}, '$[0]') is null")  # [] and [null] have one schema text
+    whole = kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")  # shorter whole numbers are BIGINT
     return (
-        F.when(F.col(v).isNull() | (kind == "VOID"), "missing")
-        .when(kind == "BOOLEAN", "bool").when((kind == "BIGINT") | whole, "int").when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
-        .when(kind == "STRING", plain.otherwise("str")).when(kind == "OBJECT<>", "empty_object").when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY") & (F.size(F.expr(f"cast({v} as array<variant>)")) == 0), "empty_array").when(kind.startswith("ARRAY"), "array").otherwise("any")
+        F.when(kind == "STRING", plain.otherwise("str")).when(kind == "BIGINT", "int").when(kind == "OBJECT<>", "empty_object").when(kind.startswith("OBJECT"), "object")
+        .when(kind.isNull() | (kind == "VOID"), "missing").when(kind == "BOOLEAN", "bool").when(whole, "int").when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
+        .when(kind == "ARRAY<VOID>", F.when(bare, "empty_array").otherwise("array")).when(kind.startswith("ARRAY"), "array").otherwise("any")
     )
 
 
@@ -58,22 +57,29 @@ def paths(records: DataFrame, depth: int | None = None, datetimes: bool = False)
 
 
 def paths_with(records: DataFrame, keep: list[str], levels: int, datetimes: bool = False) -> DataFrame:
-    """The same with columns of the record kept; runs on streams too."""
-    now = records.select(*keep, F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("rec").alias("v"), F.lit(True).alias("open"))).alias("nodes"))
-    step = """flatten(transform(nodes, n -> case
-        when not n.open or n.v is null then array(struct(n.path as path, n.parent as parent, n.v as v, false as open))
-        when schema_of_variant(n.v) like 'OBJECT<%' then concat(array(struct(n.path as path, n.parent as parent, n.v as v, false as open)),
-          transform(map_entries(cast(n.v as map<string, variant>)), e -> struct(case when n.path = '' then e.key else concat(n.path, '.', e.key) end as path, n.path as parent, e.value as v, true as open)))
-        when schema_of_variant(n.v) like 'ARRAY%' and size(cast(n.v as array<variant>)) > 0 then array(struct(n.path as path, n.parent as parent, n.v as v, false as open),
-          struct(concat(n.path, '[0]') as path, cast(null as string) as parent, get(cast(n.v as array<variant>), 0) as v, true as open))
-        else array(struct(n.path as path, n.parent as parent, n.v as v, false as open)) end))"""
+    """The same with columns of the record kept; runs on streams too.
+
+    Each level is one variant_explode, so a record is parsed once and its values
+    are cut, not copied. A node travels down with its first child until the
+    last level, where all nodes of a row are unfolded.
+    """
+    unfold, none = records.sparkSession.tvf.variant_explode_outer, F.array().cast(NODES)
+    now = records.select(*keep, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("rec").alias("v"), none.alias("above"))
+
+    def named(df: DataFrame) -> DataFrame:
+        df = df.withColumn("kind", F.when(F.col("path").isNotNull(), F.expr("schema_of_variant(v)")))  # a column of its own is evaluated once
+        own = F.array(F.struct("path", "parent", atom("v", "kind", datetimes).alias("atom")))
+        return df.select(*keep, "path", "v", F.when(F.col("path").isNull(), F.col("above")).otherwise(F.concat("above", own)).alias("nodes"))
+
     for _ in range(levels):
-        now = now.select(*keep, F.expr(step).alias("nodes"))
-    flat = now.select(*keep, F.explode("nodes").alias("n")).select(*keep, "n.path", "n.parent", F.col("n.v").alias("v"))
-    return flat.select(*keep, "path", "parent", atom("v", datetimes).alias("atom"))
+        grown = named(now).lateralJoin(unfold(F.col("v").outer())).where("pos is null or pos = 0 or key is not null")
+        member = F.col("key").isNotNull()
+        path = F.when(member, F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))).when(F.col("pos").isNotNull(), F.concat("path", F.lit("[0]")))
+        now = grown.select(*keep, path.alias("path"), F.when(member, F.col("path")).alias("parent"), F.col("value").alias("v"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("nodes")).otherwise(none).alias("above"))
+    return named(now).select(*keep, F.explode("nodes").alias("n")).select(*keep, "n.path", "n.parent", "n.atom")
 
 
-#: From counts (path, parent, atom, n) to the merged profile (path, type_repr, n).
+#: From counts (path, parent, atom, n) to the merged profile (path, type_repr, n), as SQL; merge() is the same as one aggregate and two joins.
 MERGE = """
 with raw as (select path, min(parent) as parent, sum(n) as n from {counts} group by path),
  objects as (select path, sum(n) as n from {counts} where atom in ('object', 'empty_object') group by path),
@@ -95,10 +101,30 @@ def counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path", "parent", "atom").agg(F.count(F.lit(1)).alias("n"))
 
 
+def merge(found: DataFrame) -> DataFrame:
+    """Counts (path, parent, atom, n) to the merged profile: path, type_repr, n.
+
+    A member that fewer records have than have its object is also missing. Below
+    a path of several kinds nothing is listed.
+    """
+    container = F.col("atom").isin("object", "empty_object")
+    per = found.groupBy("path").agg(F.min("parent").alias("parent"), F.sum("n").alias("n"), F.sum(F.when(container, F.col("n"))).alias("objects"), F.collect_set("atom").alias("atoms")).cache()  # one row per path
+    owner = per.where("objects is not null").select(F.col("path").alias("parent"), F.col("objects").alias("have"))
+    full = per.join(owner, "parent", "left").withColumn("atoms", F.when((F.col("path") != "") & (F.col("n") < F.col("have")), F.array_union("atoms", F.array(F.lit("missing")))).otherwise(F.col("atoms")))
+    only = lambda *kinds: F.size(F.array_except("atoms", F.array(*map(F.lit, kinds)))) == 0
+    closed = full.where(~only("object") & ~(only("array", "empty_array") & F.array_contains("atoms", "array")) & (F.col("path") != "")).select(F.col("path").alias("above"))
+    ends = "filter(sequence(1, char_length(path)), i -> substr(path, i, 1) = '.' or substr(path, i, 3) = '[0]')"
+    hidden = per.where("path <> ''").select("path", F.explode(F.expr(f"transform({ends}, i -> substr(path, 1, i - 1))")).alias("above")).join(closed, "above").select("path").distinct()
+    names = F.transform("atoms", lambda a: F.when(a == "empty_string", "str").when(a == "empty_object", "object").when(a == "empty_array", "array").otherwise(a))
+    known = F.when(only("any"), names).otherwise(F.array_remove(names, "any"))
+    shown = full.where("path <> ''").join(hidden, "path", "left_anti").select("path", F.array_sort(F.array_distinct(known)).alias("kinds"), "n")
+    text = F.when(F.size("kinds") == 1, F.col("kinds")[0]).otherwise(F.concat(F.lit("union("), F.array_join("kinds", "|"), F.lit(")")))
+    return shown.select("path", text.alias("type_repr"), F.col("n").cast("bigint").alias("n"))
+
+
 def infer(records: DataFrame, depth: int | None = None, datetimes: bool = False) -> DataFrame:
     """The merged profile of records (rec: VARIANT): path, type_repr, n."""
-    found = counts(paths(records, depth, datetimes))
-    return run(records.sparkSession, MERGE, counts=found.cache())  # one row per path and atom
+    return merge(counts(paths(records, depth, datetimes)))
 
 
 def bad_records(df: DataFrame, column: str) -> DataFrame:
