@@ -48,5 +48,6 @@ FOREIGN_KEYS = [
 ]
 FOREIGN_KEYS += [("wide_fact", f"k{i}", f"dim_{i}") for i in range(14)]
 PRIMARY_KEYS = [("bridge_customer_group", "customer_key", 1), ("bridge_customer_group", "group_key", 2), ("dim_customer", "customer_key", 1), ("dim_brand", "brand_key", 1), ("documented", "id", 1)]
-#: table, partition column (null: by ingestion time), filter required, clustering columns
+#: table, partition column (null: by ingestion time), filter required, clustering column (a row for each)
 STORAGE = [("clicks", None, True, ""), ("users", None, False, "status"), ("documented", "created_at", True, ""), ("dim_customer", None, True, "is_vip"), ("fact_sales", "order_date", False, "order_number"), ("Orders", "STATE", True, "STATE")]
+STORAGE += [("dim_customer", None, True, c) for c in ("customer_key", "region", "order_status")]

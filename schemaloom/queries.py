@@ -42,7 +42,7 @@ def _key(name: str) -> str:
         return f"ap_{name}"
     if name in rules.DIMENSIONAL_RULES:
         return f"dim_{name}"
-    return f"ds_{name}" if name.startswith(("sharded", "dataset", "fk_")) else f"tbl_{name}"
+    return f"ds_{name.removeprefix('dataset_')}" if name.startswith(("sharded", "dataset", "fk_")) else f"tbl_{name}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(n): _rule(n) for n in rules.RULES}
