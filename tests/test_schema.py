@@ -144,3 +144,14 @@ def test_inference_equals_the_fold(spark, docs):
 
 def test_dialect_rewrites_nested_calls():
     assert dialect.for_duckdb("replace_all(replace_all(a, '(', ''), 'b', 'c')") == "regexp_replace(regexp_replace(a, '(', '', 'g'), 'b', 'c', 'g')"
+
+
+def test_atoms_of_odd_values(spark):
+    texts = ["[]", "[null]", "{}", "null", '""', "1.0", "12345678901234567890123", "1e3", '[[null,1],2]', '{"a":{"b":[{"c":true},{"d":1}]}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string").selectExpr("i", "try_parse_json(j) as rec")
+    found = {(r["i"], r["path"]): r["atom"] for r in infer.paths_with(rows, ["i"], 5).collect()}
+    assert [found[i, ""] for i in range(8)] == ["empty_array", "array", "empty_object", "missing", "empty_string", "float", "int", "float"]
+    assert {p: a for (i, p), a in found.items() if i == 1} == {"": "array", "[0]": "missing"}
+    assert {p: a for (i, p), a in found.items() if i == 8} == {"": "array", "[0]": "array", "[0][0]": "missing"}
+    assert {p: a for (i, p), a in found.items() if i == 9} == {"": "object", "a": "object", "a.b": "array", "a.b[0]": "object", "a.b[0].c": "bool"}
+    assert len(found) == 7 + 2 + 3 + 5
