@@ -300,3 +300,50 @@ def test_pipeline(spark, odd, empty):
         if name != "best_fit_packing":
             assert tuple(docs.columns) == p.COLUMNS
     check_layout([(g.sequence_id, g.offset, g.length) for g in docs.collect()])
+
+
+def brute_shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_near_dedup_keeps_one_document_of_each_component_at_exact_similarity(spark, empty):
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    texts = [None, "", " \n", "one", "One", "two words", "a b c d e", "a b c d e f"]
+
+    def copy(base, edits):
+        w = base.split()
+        for i in r.sample(range(len(w)), edits):
+            w[i] = f"x{r.randrange(10**6)}"
+        return " ".join(w)
+
+    for k in range(60):  # similarities from about 0.7 to 0.95 on both sides of the limit
+        base = words(r.choice([40, 120, 400, 1500]), 1000 + k, 9000)
+        n = len(base.split())
+        texts += [base, *(copy(base, max(1, round(n * e))) for e in (0.005, 0.01, 0.02, 0.03))]
+    hub = words(300, 99, 9000)  # copies that are near the first text and not each other, more than a key pairs with each other
+    texts += [hub, *(copy(hub, 6) for _ in range(60))]
+    r.shuffle(texts)
+    sets = [brute_shingles(t) for t in texts]
+    comp = list(range(len(sets)))
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if a == sets[j] or common and common >= 0.8 * (len(a) + len(sets[j]) - common):
+                x, y = sorted((find(i), find(j)))
+                comp[y] = x
+                far += (simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[j] or "").encode())).bit_count() > 3
+    assert far > 50  # pairs that three bits of 64 leave
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars long")
+    got = sorted(d.doc_id for d in p.near_dedup(spark, docs, "").collect())
+    assert got == sorted({find(i) for i in range(len(texts))})
+    assert p.near_dedup(spark, empty.select("doc_id", "text", "lang", "source", F.lit(1).cast("bigint").alias("n_chars")), "").count() == 0
