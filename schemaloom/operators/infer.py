@@ -122,6 +122,15 @@ def merge(found: DataFrame) -> DataFrame:
     return shown.select("path", text.alias("type_repr"), F.col("n").cast("bigint").alias("n"))
 
 
+def merge_profiles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two profiles as counts (path, parent, atom, n) to the merged profile of all their records.
+
+    Counts are what merges without loss: a finished profile no longer tells an
+    empty array from a full one, nor what stands below a path of several kinds.
+    """
+    return merge(left.unionByName(right).groupBy("path", "parent", "atom").agg(F.sum("n").alias("n")))
+
+
 def infer(records: DataFrame, depth: int | None = None, datetimes: bool = False) -> DataFrame:
     """The merged profile of records (rec: VARIANT): path, type_repr, n."""
     return merge(counts(paths(records, depth, datetimes)))

@@ -130,6 +130,12 @@ def _counts_sql(table: str, text: str) -> str:
       from (select {text} as doc from {table}) as d, json_tree(d.doc) as t where not regexp_matches(fullkey, '[[][1-9]')) as z group by path, parent, atom)"""
 
 
+def infer_merge_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles of the odd and of the even orders, merged: all orders are read."""
+    halves = [infer.counts(infer.paths(order_documents(spark, sf_dir).where(F.col("o_orderkey") % 2 == i), 5)) for i in (0, 1)]
+    return infer.merge_profiles(*halves)
+
+
 _DOC_DUCK = DOCUMENT.replace("as string)", "as varchar)")
 _MERGED = {name: dialect.for_duckdb(infer.MERGE, counts=_counts_sql(t, x)) for name, t, x in (("orders", "orders", _DOC_DUCK), ("events", "events", "props"))}
 
@@ -140,6 +146,7 @@ QUERIES |= {
     "infer_events": lambda spark, sf_dir: infer.infer(event_documents(spark, sf_dir)),
     "infer_union": lambda spark, sf_dir: infer.infer(order_documents(spark, sf_dir), 5).where("type_repr like 'union%'").select("path", "type_repr"),
     "infer_merge": lambda spark, sf_dir: infer.infer(order_documents(spark, sf_dir).where("o_orderkey % 2 = 0"), 5).select("path", "type_repr"),
+    "infer_merge_halves": infer_merge_halves,
     "infer_datetime": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("to_json(struct(date_format(o_orderdate, 'yyyy-MM-dd') as d, date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") as t, o_orderpriority as p))").alias("j")).select(F.expr("try_parse_json(j)").alias("rec")).transform(lambda df: infer.infer(df, 2, datetimes=True)),
     "bad_records": lambda spark, sf_dir: infer.bad_records(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))), "props"),
     "sample_nth": lambda spark, sf_dir: records.nth(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), 7, "o_orderkey"),
@@ -157,6 +164,7 @@ ORACLE_SQL |= {
     "infer_events": _MERGED["events"],
     "infer_union": f"select path, type_repr from ({_MERGED['orders']}) where type_repr like 'union%'",
     "infer_merge": f"select path, type_repr from ({_EVEN})",
+    "infer_merge_halves": _MERGED["orders"],
     "infer_datetime": "select * from (select 'd' as path, 'date' as type_repr, count(*) as n from orders union all select 't', 'timestamp', count(*) from orders union all select 'p', 'str', count(*) from orders)",
     "bad_records": "select cast(count(case when event_id % 10 = 0 then 1 end) as bigint) as bad_records, count(*) as records from events",
     "sample_nth": "select o_orderkey, o_orderstatus from orders order by o_orderkey limit 1 offset 6",
