@@ -122,9 +122,10 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """The op4 query over all documents."""
+    """The op4 query over all documents: a row each, range-sorted by training position (those not in the mix last)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    begins = [F.col(x).asc_nulls_last() for x in ("position", "position_again", "doc_id")]  # the id splits what has no position
+    return mix(docs).repartitionByRange(*begins).sortWithinPartitions(*begins).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""

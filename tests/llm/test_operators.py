@@ -154,6 +154,14 @@ def test_mixing(odd, empty, odd_rows):
     assert order == sorted(order) and mixing.mix(empty).count() == 0
 
 
+def test_op4_is_in_training_order(spark, tmp_path):
+    rows = [(i, words(5 + i % 40, i), f"s{i % 4}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = {r.doc_id: (r.position is None, r.position, r.position_again is None, r.position_again) for r in mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    got = [tuple(9 if x is None else x for x in at[r.doc_id]) for r in mixing.op4(spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows) and got == sorted(got) and {g[0] for g in got} == {True, False}
+
+
 def test_token_counts(odd, empty, odd_rows):
     path = token_counts.tokenizer_path()
     library = wordbpe.WordBpe(path).library
