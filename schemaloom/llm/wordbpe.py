@@ -257,7 +257,7 @@ class PrefixCounts(WordBpe):
 
     def reset(self) -> None:
         super().reset()
-        self.counts = Flat(np.uint16)  # for each code point of a pre-token, the tokens of the pre-token up to it
+        self.counts = Flat(np.uint32)  # for each code point of a pre-token, the tokens of the pre-token up to it
 
     def _load(self) -> None:
         model, alphabet = self.spec["model"], _byte_alphabet()
@@ -387,7 +387,7 @@ class PrefixCounts(WordBpe):
         data = np.frombuffer(b"".join(raw), np.uint8)
         # a code point ends before a byte that begins one, or at the end of the word
         lasts = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True))
-        counts = ended[lasts].astype(np.uint16)
+        counts = ended[lasts].astype(np.uint32)
         size = np.array([len(w) for w in words], np.int64)
         place = np.cumsum(size) - size
         for i, w in enumerate(words):

@@ -355,3 +355,11 @@ def test_near_dedup_keeps_one_document_of_each_component_at_exact_similarity(spa
     got = sorted(d.doc_id for d in p.near_dedup(spark, docs, "").collect())
     assert got == sorted({find(i) for i in range(len(texts))})
     assert p.near_dedup(spark, empty.select("doc_id", "text", "lang", "source", F.lit(1).cast("bigint").alias("n_chars")), "").count() == 0
+
+
+def test_token_counts_of_a_run_of_over_65536_tokens():
+    counter = wordbpe.PrefixCounts(token_counts.tokenizer_path())
+    n = 66_000  # counting a run of 100,000 random letters, library included, took over 75 s: a token each letter is put in
+    counter.word_counts = lambda found: (np.arange(1, n + 1), np.array([0, n]))
+    got = counter.prefix_block(np.full(n, ord("q"), np.uint8), np.array([0, n]))[0]
+    assert got.tolist() == list(range(n + 1))
