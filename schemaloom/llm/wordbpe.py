@@ -2,59 +2,91 @@
 
 The vocabulary lower-cases, drops white space and merges inside pre-tokens
 only, so a text's ids are those of its pre-tokens in order. Blocks of texts are
-split into pre-tokens with array operations, and every distinct pre-token is
-encoded once and remembered in a bounded table; the rest is a gather.
+split into pre-tokens with array operations. Every distinct pre-token of up to
+LONG code points is encoded once and remembered in a bounded table; longer ones
+are encoded as they come.
 
-Only code points whose class, lower case and normal form are plain (Latin, a
-little punctuation) go this way. A text with any other one, or with the string
-of a special token, goes to the library as a whole, so results are the
-library's in every case.
+What a code point is (space, letter, number, other), its lower case and whether
+it can take part in a composition is asked of the library, once for each code
+point that occurs, so all scripts go the same way. Two kinds of texts are taken
+apart first: those with the string of a special token, and those that the
+library's normal form changes.
 
 PrefixCounts holds the prefix dynamic programme. For each prefix of a
 pre-token exactly one last token t is possible: one whose boundary to the last
 token of the shorter prefix survives all merges. Its count is that prefix's
-plus one. Two tables are kept, for prefixes that the word goes on after and for
+plus one. Two results are kept, for prefixes that the word goes on after and for
 prefixes that end it, as the end-of-word mark changes the last symbol. From
-them follows the exact count of every prefix of a text.
+them follows the exact count of every prefix of a text, in time linear in it.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import unicodedata
 
+import ahocorasick
 import numpy as np
-import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from . import _common as c
 
-#: Distinct pre-tokens that a worker remembers; beyond it starts anew.
-MOST_WORDS = 1 << 20
+#: Distinct pre-tokens that a worker remembers, and values kept for them; beyond either it starts anew.
+MOST_WORDS, MOST_VALUES = 1 << 20, 1 << 24
+#: Code points of a pre-token that is remembered.
+LONG = 64
 NONE = np.int32(-1)
-SPACE, LETTER, NUMBER, OTHER, UNSAFE = range(5)
-POINTS = 0x2100
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 APOSTROPHE = ord("'")
-POINT_VALUES = c.mix(np.arange(POINTS, dtype=np.uint64) + np.uint64(77))
 BASE = np.uint64(0xA0761D6478BD642F)
 
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """The class and the lower case of each code point below POINTS."""
-    kind, low = np.full(POINTS, UNSAFE, np.uint8), np.arange(POINTS, dtype=np.uint32)
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), 0x20AC]
-    for p in plain:
-        ch = chr(p)
-        lower = ch.lower()
-        if len(lower) > 1 or ord(lower) not in plain or not ch.isprintable() and p != 0xAD:
-            continue
-        kind[p] = LETTER if regex.match(r"\p{L}", lower) else NUMBER if regex.match(r"\p{N}", lower) else OTHER
-        low[p] = ord(lower)
-    kind[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = SPACE
-    return kind, low
-
-
-KIND, LOWER = _tables()
+# What these vocabularies do to a text before they merge.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.cache
+def _followers() -> frozenset[int]:
+    """Code points that may join the one before them in the composed normal form."""
+    out = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # vowels and finals of syllables
+    for p in range(0xC0, 0x30000):
+        parts = unicodedata.decomposition(chr(p)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            out.add(int(parts[1], 16))
+    return frozenset(out)
+
+
+class Points:
+    """Class, lower case and composing of code points, asked of the library once each."""
+
+    def __init__(self, library: Tokenizer):
+        self.split, self.lower, self.nfc = library.pre_tokenizer.pre_tokenize_str, normalizers.Lowercase().normalize_str, normalizers.NFC().normalize_str
+        size = 0x110000
+        self.kind, self.low = np.full(size, UNKNOWN, np.uint8), np.arange(size, dtype=np.uint32)
+        self.wide = np.zeros(size, np.uint8)  # lower-case code points beyond the first
+        self.tails: dict[int, list[int]] = {}
+        self.composes = np.zeros(size, bool)
+        self.known = np.zeros(size, bool)
+
+    def learn(self, cp: np.ndarray) -> None:
+        for p in np.unique(cp[~self.known[cp]]).tolist():
+            self.known[p] = True
+            ch = chr(p)
+            low = self.lower(ch)
+            self.low[p] = ord(low[0])
+            self.wide[p] = len(low) - 1
+            if len(low) > 1:
+                self.tails[p] = [ord(x) for x in low[1:]]
+            for x in low:
+                self.kind[ord(x)] = self._kind(x)
+            if p >= 0x300:  # the code points below stand alone in the normal form
+                self.composes[p] = unicodedata.combining(ch) != 0 or unicodedata.category(ch) == "Cn" or p in _followers() or self.nfc(ch) != ch
+
+    def _kind(self, ch: str) -> int:
+        twice = len(self.split(ch + ch))
+        return SPACE if not twice else NUMBER if twice == 2 else LETTER if len(self.split("a" + ch)) == 1 else OTHER
 
 
 class HashTable:
@@ -80,7 +112,7 @@ class HashTable:
         return out
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct new keys."""
+        """Add distinct new keys, at most `most` in all."""
         slot, todo = keys & self.mask, np.arange(len(keys))
         while len(todo):
             at = slot[todo]
@@ -102,6 +134,12 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return c.mix(np.add.reduceat(part, starts - lo) + (ends - starts).astype(np.uint64)) | np.uint64(1)
 
 
+def joined(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (length[0] of them), then the same of the next."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - length), length)
+
+
 class Flat:
     """Growing lists of small arrays, flat."""
 
@@ -120,52 +158,59 @@ class Flat:
     def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists at index, joined, and their lengths."""
         first, length = self.at[index], self.at[index + 1] - self.at[index]
-        ends = np.cumsum(length)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - length), length)
-        return self.data[where], length
+        return self.data[joined(first, length)], length
 
 
-class Block:
-    """Pre-tokens of a block of texts: row, start, end (code points of the block), hash; and the rows for the library."""
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, specials: list[bytes]):
-        heads = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-        self.at = heads[at]
-        self.raw = data.tobytes()
-        cp = np.frombuffer(self.raw.decode("utf-8").encode("utf-32-le"), np.uint32)
-        n = len(cp)
-        known = cp < POINTS
-        cp = np.where(known, cp, 0)
-        kind = KIND[cp]
-        self.slow = np.zeros(len(at) - 1, bool)
-        bad = np.flatnonzero(kind == UNSAFE)
-        self.slow[np.searchsorted(self.at, bad, side="right") - 1] = True
-        for s in specials:
-            if s in self.raw:
-                self.slow |= [s in self.raw[a:b] for a, b in zip(at[:-1], at[1:])]
-        if self.slow.any():
-            for r in np.flatnonzero(self.slow):
+
+class Block:
+    """Pre-tokens of a block of texts: row, start, end (lower-case code points of the block) and hash.
+
+    cp and at are the code points and the offsets of the rows; rows in `blank`
+    are passed over. `last` is, for each code point, the place of the last of
+    its lower-case ones.
+    """
+
+    def __init__(self, points: Points, cp: np.ndarray, at: np.ndarray, blank: np.ndarray | None = None):
+        points.learn(cp)
+        wide = points.wide[cp]
+        low = points.low[cp]
+        if wide.any():
+            size = wide.astype(np.int64) + 1
+            self.last = np.cumsum(size) - 1
+            low = np.repeat(low, size)
+            for i in np.flatnonzero(wide).tolist():
+                low[self.last[i] - wide[i] + 1 : self.last[i] + 1] = points.tails[int(cp[i])]
+            self.at = np.concatenate(([0], self.last + 1))[at]
+        else:
+            self.last, self.at = np.arange(len(cp)), at
+        self.points, n = low, len(low)
+        kind = points.kind[low]
+        if blank is not None:
+            for r in np.flatnonzero(blank):
                 kind[self.at[r] : self.at[r + 1]] = SPACE
-        self.points = LOWER[cp]
         first = np.zeros(n + 1, bool)
         first[self.at[:-1]] = True
         prev = np.concatenate(([SPACE], kind[:-1])).astype(np.uint8) if n else kind
         fresh = (kind != SPACE) & ((kind != prev) | (kind == NUMBER) | first[:n])
         breaks = np.flatnonzero(fresh | (kind == SPACE) | first[:n])
         opens = np.flatnonzero(fresh[breaks])
-        starts = breaks[opens]
-        ends = np.append(breaks, n)[opens + 1]
-        self.starts, self.ends = self._contractions(starts, ends, kind)
-        self.row = np.searchsorted(self.at, self.starts, side="right") - 1
+        self.starts, self.ends = self._contractions(breaks[opens], np.append(breaks, n)[opens + 1], kind)
         # rows of no length share an offset with the next: the last of them is meant
-        self.hash = range_hashes(POINT_VALUES[self.points], self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.row = np.searchsorted(self.at, self.starts, side="right") - 1
+        self.short = np.flatnonzero(self.ends - self.starts <= LONG)
+        self.long = np.flatnonzero(self.ends - self.starts > LONG)
+        self.hash = np.zeros(len(self.starts), np.uint64)
+        if len(self.starts):
+            self.hash = range_hashes(c.mix(low.astype(np.uint64) + np.uint64(77)), self.starts, self.ends)
 
     def _contractions(self, starts, ends, kind):
         """'s 't 'm 'd 're 've 'll, where the apostrophe stands alone, take letters from the next pre-token."""
-        if not len(starts):
+        if len(starts) < 2:
             return starts, ends
-        lone = np.flatnonzero((self.points[starts[:-1]] == APOSTROPHE) & (ends[:-1] - starts[:-1] == 1) & (starts[1:] == ends[:-1]) & (kind[starts[1:]] == LETTER)) if len(starts) > 1 else []
+        lone = np.flatnonzero((self.points[starts[:-1]] == APOSTROPHE) & (ends[:-1] - starts[:-1] == 1) & (starts[1:] == ends[:-1]) & (kind[starts[1:]] == LETTER))
         if not len(lone):
             return starts, ends
         row = np.searchsorted(self.at, starts, side="right")
@@ -187,57 +232,105 @@ class Block:
         text = self.points.astype("<u4").tobytes().decode("utf-32-le")
         return [text[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
 
-    def text(self, row: int, at: np.ndarray) -> str:
-        return self.raw[at[row] : at[row + 1]].decode("utf-8")
-
 
 class WordBpe:
     """Ids of texts, equal to the library's without special tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.words):
+            t.no_truncation()
+            t.no_padding()
+        self.words.normalizer = normalizers.Sequence([])  # pre-tokens are taken as they are: lower case can leave the normal form
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.specials = [x["content"].encode() for x in self.spec["added_tokens"]]
+        steps = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (self.spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != NORMALIZERS or splits[:1] != [PATTERN] or not self.spec["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path} is no vocabulary of words with end marks")
+        self.specials = [x["content"] for x in self.spec["added_tokens"]]
+        self.code = Points(self.library)
         self.reset()
 
     def reset(self) -> None:
         self.table, self.ids = HashTable(MOST_WORDS), Flat(np.int32)
 
+    @property
+    def store(self) -> Flat:
+        """What is remembered of a pre-token."""
+        return self.ids
+
     def learn(self, words: list[str]) -> None:
         """Encode new pre-tokens."""
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
         self.ids.add(np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.int32))
 
-    def lookup(self, block: Block) -> np.ndarray:
-        """The number of each pre-token of a block in the memory."""
-        index = self.table.get(block.hash)
+    def gather(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """What is remembered of the short pre-tokens of a block, joined, and the lengths.
+
+        At most MOST_WORDS pre-tokens are looked up at once, so they fit the
+        memory after a reset, and their values are taken before the next ones
+        may cause another.
+        """
+        parts = [self._gather(block, block.short[lo : lo + MOST_WORDS]) for lo in range(0, len(block.short), MOST_WORDS)]
+        if not parts:
+            return self.store.data[:0], np.zeros(0, np.int64)
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _gather(self, block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = block.hash[which]
+        index = self.table.get(hashes)
         missing = np.flatnonzero(index < 0)
         if len(missing):
-            _, first = np.unique(block.hash[missing], return_index=True)
-            new = missing[first]
-            if self.ids.n + len(new) > MOST_WORDS:
+            new = missing[np.unique(hashes[missing], return_index=True)[1]]
+            if self.store.n + len(new) > MOST_WORDS or self.store.size > MOST_VALUES:
                 self.reset()
-                _, new = np.unique(block.hash, return_index=True)
-            start = self.ids.n
-            self.learn(block.strings(new))
-            self.table.put(block.hash[new], np.arange(start, start + len(new), dtype=np.int32))
-            index = self.table.get(block.hash)
-        return index
+                new = np.unique(hashes, return_index=True)[1]
+            start = self.store.n
+            self.learn(block.strings(which[new]))
+            self.table.put(hashes[new], np.arange(start, start + len(new), dtype=np.int32))
+            index = self.table.get(hashes)
+        return self.store.take(index)  # only now: a reset has changed the store
+
+    def decoded(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of a block, row offsets in them, and the rows that hold special tokens or are not in normal form."""
+        heads = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+        raw = data.tobytes()
+        cp, rows = code_points(raw.decode("utf-8")), heads[at]
+        special, composed = (np.zeros(len(at) - 1, bool) for _ in range(2))
+        self.code.learn(cp)
+        for s in self.specials:
+            if (s := s.encode()) in raw:
+                special |= [s in raw[a:b] for a, b in zip(at[:-1], at[1:])]
+        odd = np.flatnonzero(self.code.composes[cp])
+        for r in np.unique(np.searchsorted(rows, odd, side="right") - 1).tolist():
+            text = raw[at[r] : at[r + 1]].decode("utf-8")
+            composed[r] = self.code.nfc(text) != text
+        return cp, rows, special, composed
 
     def encode_block(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """The ids of each row of a block."""
-        block = Block(data, at, self.specials)
-        flat, length = self.ids.take(self.lookup(block)) if len(block.hash) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        rows = np.zeros(len(at), np.int64)
+        cp, rows, special, composed = self.decoded(data, at)
+        odd = special | composed
+        block = Block(self.code, cp, rows, odd)
+        flat, length = self.gather(block)
+        if len(block.long):
+            longs = [np.array(e.ids, np.int32) for e in self.words.encode_batch_fast(block.strings(block.long), add_special_tokens=False)]
+            sizes = np.zeros(len(block.starts), np.int64)
+            sizes[block.short], sizes[block.long] = length, [len(x) for x in longs]
+            first = np.cumsum(sizes) - sizes
+            every = np.zeros(int(sizes.sum()), np.int32)
+            every[joined(first[block.short], length)] = flat
+            every[joined(first[block.long], sizes[block.long])] = np.concatenate(longs)
+            flat, length = every, sizes
         sums = np.concatenate(([0], np.cumsum(length)))
-        rows[:] = sums[np.searchsorted(block.row, np.arange(len(at)))]
-        out = [flat[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist())]
-        for r in np.flatnonzero(block.slow):
-            out[r] = np.array(self.library.encode(block.text(r, at), add_special_tokens=False).ids, np.int32)
+        cut = sums[np.searchsorted(block.row, np.arange(len(at)))]
+        out = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        for r in np.flatnonzero(odd):
+            text = data[at[r] : at[r + 1]].tobytes().decode("utf-8")
+            out[r] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
         return out
 
 
@@ -248,6 +341,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Answers on boundaries that are kept; bytes of a word that is counted along with others, and of words at once.
+MOST_PAIRS, AT_ONCE, LEARN_BYTES = 1 << 20, 32, 1 << 19
+
+
 class PrefixCounts(WordBpe):
     """Exact token counts of every prefix."""
 
@@ -256,9 +353,13 @@ class PrefixCounts(WordBpe):
         self._load()
 
     def reset(self) -> None:
-        super().reset()
+        self.table = HashTable(MOST_WORDS)
         self.counts = Flat(np.uint32)  # for each code point of a pre-token, the tokens of the pre-token up to it
 
+    @property
+    def store(self) -> Flat:
+        return self.counts
+
     def _load(self) -> None:
         model, alphabet = self.spec["model"], _byte_alphabet()
         vocab, mark = model["vocab"], model["end_of_word_suffix"]
@@ -298,6 +399,12 @@ class PrefixCounts(WordBpe):
         both = np.array([*strings.values(), [-1, -1]], np.int64)  # the last row: no such token
         self.inner, self.final = both[:, 0], both[:, 1]
         self.by_length = np.bincount(ends - starts, minlength=self.longest + 1)
+        self.automaton = ahocorasick.Automaton()
+        for s, (inner, final) in strings.items():
+            self.automaton.add_word(s.decode("latin-1"), (len(s), inner, final))
+        self.automaton.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.one_by_one = dict(zip(pairs, ranks)), self.rank.tolist(), self.left.tolist(), self.right.tolist()
 
     def _alive(self, made: np.ndarray, n: int) -> np.ndarray:
         """Tokens that merging their own text gives."""
@@ -380,11 +487,80 @@ class PrefixCounts(WordBpe):
                     open_ = open_[keep]
         return ended, at
 
+    def long_word(self, word: bytes) -> tuple[np.ndarray, list[int], list[int]]:
+        """For every byte of one word: the tokens of a word that ends there, and the last token and the count if it goes on.
+
+        The same programme as word_counts, a byte at a time; the candidates at a
+        byte come from an automaton over all tokens, longest first.
+        """
+        n = len(word)
+        ended, last, inside = [0] * n, [-1] * n, [0] * n
+        self._extend(word.decode("latin-1"), 0, ended, last, inside)
+        return np.array(ended, np.int64), last, inside
+
+    def _extend(self, text: str, done: int, ended: list[int], last: list[int], inside: list[int]) -> None:
+        """Fill the lists from byte `done` on."""
+        memo = self.pairs
+        if len(memo) > MOST_PAIRS:
+            memo.clear()
+        for end, (d, inner, final) in self.automaton.iter(text):
+            if end < done:
+                continue
+            before = end - d
+            if inner >= 0 and last[end] < 0:
+                if before < 0:
+                    last[end], inside[end] = inner, 1
+                elif (p := last[before]) >= 0:
+                    ok = memo.get(p << 20 | inner)
+                    if ok is None:
+                        ok = memo[p << 20 | inner] = self.one_stable(p, inner)
+                    if ok:
+                        last[end], inside[end] = inner, inside[before] + 1
+            if final >= 0 and not ended[end]:
+                if before < 0:
+                    ended[end] = 1
+                elif (p := last[before]) >= 0:
+                    ok = memo.get(p << 20 | final)
+                    if ok is None:
+                        ok = memo[p << 20 | final] = self.one_stable(p, final)
+                    if ok:
+                        ended[end] = inside[before] + 1
+
+    def one_stable(self, x: int, y: int) -> bool:
+        """stable of one pair."""
+        merges, ranks, left, right = self.one_by_one
+        limit, tie = 1 << 39, False
+        while True:
+            r = merges.get(x << 20 | y, 1 << 40)
+            if r < limit or tie and r == limit:
+                return False
+            a, b = ranks[x], ranks[y]
+            if a < 0 and b < 0:
+                return True
+            tie = b >= a
+            if tie:
+                limit, y = b, left[y]
+            else:
+                limit, x = a, right[x]
+
     def learn(self, words: list[str]) -> None:
         """Prefix counts of new pre-tokens."""
         raw = [w.encode() for w in words]
-        ended, at = self.word_counts(raw)
+        at = np.concatenate(([0], np.cumsum([len(w) for w in raw])))
         data = np.frombuffer(b"".join(raw), np.uint8)
+        ended = np.zeros(len(data), np.int64)
+        wide = [i for i, w in enumerate(raw) if len(w) > AT_ONCE]
+        for i in wide:
+            ended[at[i] : at[i + 1]] = self.long_word(raw[i])[0]
+        some, size = [], 0
+        for i, w in enumerate(raw):  # a bounded number of bytes at once
+            if len(w) <= AT_ONCE:
+                some.append(i)
+                size += len(w)
+            if some and (size > LEARN_BYTES or i == len(raw) - 1):
+                found, ends = self.word_counts([raw[j] for j in some])
+                ended[joined(at[some], np.diff(ends))] = found
+                some, size = [], 0
         # a code point ends before a byte that begins one, or at the end of the word
         lasts = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True))
         counts = ended[lasts].astype(np.uint32)
@@ -394,55 +570,148 @@ class PrefixCounts(WordBpe):
             if w[0] == "'" and w[1:] in ("re", "ve", "ll"):  # a shorter prefix of these is an apostrophe and a letter
                 counts[place[i] + 1] = 1 + self._count(w[1])
         self.counts.add(size, counts)
-        self.ids.add(np.zeros(len(words), np.int64), np.zeros(0, np.int32))
 
     def _count(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _totals(self, block: Block) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
+        """For each lower-case code point of a block: the tokens up to it, the tokens of pre-tokens that end there or before; the long words."""
+        n = len(block.points)
+        counts, base, span, longs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), {}
+        flat, length = self.gather(block)
+        if len(length):
+            where = joined(block.starts[block.short], length)
+            counts[where], span[where] = flat, True
+            base[block.ends[block.short] - 1] = flat[np.cumsum(length) - 1]
+        for i, word in zip(block.long.tolist(), block.strings(block.long)):
+            raw = word.encode()
+            ended, last, inside = self.long_word(raw)
+            data = np.frombuffer(raw, np.uint8)
+            lasts = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True))
+            a, b = block.starts[i], block.ends[i]
+            counts[a:b], span[a:b] = ended[lasts], True
+            base[b - 1] = ended[-1]
+            longs[int(a)] = (raw, lasts, ended, last, inside)
+        closed = np.cumsum(base)
+        return np.where(span, closed - base + counts, closed), closed, longs
+
     def prefix_block(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """For each row of a block, the tokens of its first 0, 1, 2, ... code points."""
-        block = Block(data, at, self.specials)
-        n = int(block.at[-1])
-        counts, base = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        if len(block.hash):
-            flat, length = self.counts.take(self.lookup(block))
-            whole = flat[np.cumsum(length) - 1].astype(np.int64)
-            where = np.arange(len(flat)) + np.repeat(block.starts - (np.cumsum(length) - length), length)
-            counts[where] = flat
-            base[block.ends - 1] = whole
-        # tokens of all pre-tokens that have ended, by code point, less those of earlier rows
-        closed = np.cumsum(base)
-        inside = closed - base
-        span = np.zeros(n, bool)
-        if len(block.hash):
-            span[where] = True
-        total = np.where(span, inside + counts, closed)
+        cp, rows, special, composed = self.decoded(data, at)
+        block = Block(self.code, cp, rows, special | composed)
+        total, closed, _ = self._totals(block)
+        total = total[block.last]
+        begin = np.concatenate(([0], closed))[block.at[:-1]]
         out = []
-        for a, b in zip(block.at[:-1].tolist(), block.at[1:].tolist()):
+        for a, b, less in zip(rows[:-1].tolist(), rows[1:].tolist(), begin.tolist()):
             row = np.zeros(b - a + 1, np.int64)
-            row[1:] = total[a:b] - (closed[a - 1] if a else 0)
+            row[1:] = total[a:b] - less
             out.append(row)
-        for r in np.flatnonzero(block.slow):
-            out[r] = self.slow_prefixes(block.text(r, at))
+        for r in np.flatnonzero(special | composed):
+            text = data[at[r] : at[r + 1]].tobytes().decode("utf-8")
+            out[r] = self.special_prefixes(text) if special[r] else self.composed_prefixes(text)
         return out
 
-    def slow_prefixes(self, text: str) -> np.ndarray:
-        """The same for one text with the library: it says where pre-tokens lie, each is counted by its prefixes."""
-        encoded = self.library.encode(text, add_special_tokens=False)
+    def special_prefixes(self, text: str) -> np.ndarray:
+        """The same for a text with special tokens: an unfinished one is ordinary text, a finished one counts 1 and starts anew."""
+        places = sorted((i, s) for s in self.specials for i in _finds(text, s))
+        cuts = [0, *(i + len(s) for i, s in places)]
+        parts = [text[lo : i + len(s) - 1] for lo, (i, s) in zip(cuts, places)] + [text[cuts[-1] :]]
+        raw = [p.encode() for p in parts]
+        rows = self.prefix_block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *(len(x) for x in raw)]))
         out, done = np.zeros(len(text) + 1, np.int64), 0
-        spans: list[list[int]] = []
-        for (a, b), word in zip(encoded.offsets, encoded.word_ids):
-            if spans and word is not None and spans[-1][3] == word and a <= spans[-1][1]:
-                spans[-1][1], spans[-1][2] = max(b, spans[-1][1]), spans[-1][2] + 1
-            else:
-                spans.append([a, b, 1, -1 if word is None else word])
-        at = 0
-        for a, b, n, _ in spans:
-            out[at : a + 1] = done
+        for lo, row, (i, _) in zip(cuts, rows, [*places, (len(text), "")]):
+            out[lo : lo + len(row)] = done + row
+            done += int(row[i - lo]) + 1
+        return out
+
+    def composed_prefixes(self, text: str) -> np.ndarray:
+        """The same for one text without special tokens, in normal form or not.
+
+        A text falls into segments: a code point that joins nothing before it,
+        and those after it that may. The normal form is that of the segments in
+        turn, so where a segment ends the normal form's own prefix counts hold.
+        Inside a segment the prefix is the normal form up to it and a few other
+        code points, which are counted from the last pre-tokens on.
+        """
+        cp = code_points(text)
+        self.code.learn(cp)
+        joins = self.code.composes[cp]
+        edges = np.diff(np.concatenate(([0], joins.astype(np.int8), [0])))
+        form, inside = [], []  # pieces of the normal form; (prefix, normal form before its segment, its own end)
+        ends = np.arange(len(cp) + 1)  # the normal form's length where a segment ends
+        done = shift = 0
+        for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()):
+            a = max(0, a - 1)
+            whole = self.code.nfc(text[a:b])
+            form += [text[done:a], whole]
+            at = a + shift
+            ends[done : a + 1] += shift
             for j in range(a + 1, b):
-                out[j] = done + self._count(text[a:j])
-            done += n
-            out[b] = done
-            at = b
-        out[at:] = done
+                part = self.code.nfc(text[a:j])
+                if whole.startswith(part):
+                    ends[j] = at + len(part)
+                else:
+                    ends[j] = at  # put right below
+                    inside.append((j, at, part))
+            shift += len(whole) - (b - a)
+            done = b
+        form.append(text[done:])
+        ends[done:] += shift
+        form = "".join(form)
+        block = Block(self.code, code_points(form), np.array([0, len(form)]))
+        total, closed, longs = self._totals(block)
+        counts = np.concatenate(([0], total[block.last]))
+        out = counts[ends]
+        lows = block.points.astype("<u4").tobytes().decode("utf-32-le") if inside else ""
+        ask, base, which = [], [], []
+        for j, at, part in inside:
+            low = self.code.lower(part)
+            end = int(block.last[at - 1]) + 1 if at else 0  # in lower case
+            i = int(np.searchsorted(block.starts, end)) - 1  # the last pre-token that begins before
+            if i < 0 or block.ends[i] < end:  # white space or nothing before
+                start = end
+            else:
+                start = int(block.starts[i])
+                if end - start > LONG:
+                    out[j] = self._branch(longs[start], end - start, low, int(closed[start - 1]) if start else 0)
+                    continue
+                if i and block.ends[i - 1] == start and start - block.starts[i - 1] <= LONG:
+                    start = int(block.starts[i - 1])  # an apostrophe before could take its letters
+            ask.append(lows[start:end] + low)
+            base.append(int(closed[start - 1]) if start else 0)
+            which.append(j)
+        for lo in range(0, len(ask), 1024):
+            out[which[lo : lo + 1024]] = np.array(base[lo : lo + 1024]) + self._counts(ask[lo : lo + 1024])
         return out
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """Tokens of texts that are taken as they are, without the normal form."""
+        cps = [code_points(x) for x in texts]
+        block = Block(self.code, np.concatenate(cps), np.cumsum([0, *(len(x) for x in cps)]))
+        closed = np.concatenate(([0], self._totals(block)[1]))
+        return np.diff(closed[block.at])
+
+    def _branch(self, word: tuple, n: int, more: str, base: int) -> int:
+        """Tokens up to n code points of a long word and some other code points after them."""
+        raw, lasts, ended, last, inside = word
+        cps = code_points(more)
+        self.code.learn(cps)
+        kind = self.code.kind[code_points(raw[: int(lasts[0]) + 1].decode())[0]]
+        k = next((i for i, x in enumerate(cps) if self.code.kind[x] != kind), len(cps))
+        stop = int(lasts[n - 1]) + 1
+        head = int(ended[stop - 1])
+        if k:
+            lo, extra = max(0, stop - self.longest - 1), more[:k].encode()  # no token that ends later begins before lo
+            found, none = [0] * (stop - lo + len(extra)), [0] * len(extra)
+            self._extend((raw[lo:stop] + extra).decode("latin-1"), stop - lo, found, last[lo:stop] + [-1] * len(extra), inside[lo:stop] + none)
+            head = found[-1]
+        return base + head + (int(self._counts([more[k:]])[0]) if k < len(more) else 0)
+
+
+def _finds(text: str, part: str) -> list[int]:
+    out, at = [], text.find(part)
+    while at >= 0:
+        out.append(at)
+        at = text.find(part, at + len(part))
+    return out
