@@ -1,8 +1,10 @@
 """Main text of web pages by boosted trees over DOM nodes.
 
 1. Parse. One pass builds the tree of block elements (an inline element belongs
-   to its block), with HTML's implied end tags; scripts, styles, head matter and
-   comments are no nodes.
+   to its block), with HTML's implied end tags, in time linear in the page.
+   Scripts, styles, titles, comments, drawings and what stands in for media show
+   no text and are no nodes; formulas, objects and noscript are like other inline
+   elements.
 2. Features of a node: its kind, attribute tokens of itself and above it, depth,
    place among its siblings, and subtree density: words, links, tags, blocks.
 3. Model. Gradient-boosted trees (boosting.py), fitted on the driver on TRAIN
@@ -22,6 +24,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,9 @@ ADDED = ("text", "n_chars")
 
 # Element kinds of HTML.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = set("script style noscript template iframe svg math head title textarea object canvas audio video map datalist".split())
+# Elements that show no text of the page: those whose content is raw text, and those that hold elements.
+RAW = set("script style iframe title textarea noembed noframes".split())
+SKIPPED = RAW | set("template svg canvas audio video datalist annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - set("button label body html option optgroup select td th tr tbody thead tfoot caption legend".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -48,12 +53,63 @@ KIND = {t: i for i, tags in enumerate(KINDS) for t in tags}
 GOOD = set("article articlebody body content entry main post story text prose maincontent richtext paragraph".split())
 BAD = set("ad ads adv advert advertisement adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar toolbar comment comments respond reply replies disqus discussion share sharing social related recommended recommendations more newsletter subscribe subscription signup login search form pagination pager copyright legal tags tag meta byline author toc skip print hidden tracking outbrain taboola trending popular".split())
 
-_TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*>)""")
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: The rest of a tag: a quote holds a > only where a value begins; any other quote is a character like others.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+""")
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDE = re.compile(r"""(?:\shidden(?=[\s/>=]|$))|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
-_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in SKIPPED}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
+_EITHER = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED - RAW}
+
+
+class _Tags:
+    """Tags of a text, in time linear in it: (start, end, is an end tag, name, attributes); no name for markup without one."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.stop = text, 0, text.rfind(">") + 1
+        self.unended: set[str] = set()  # elements without an end tag in what is left
+        self.loose = False  # a tag ran to the end of the text, so quotes count no more
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        text, size = self.text, len(self.text)
+        while (m := _OPEN.search(text, self.at)) is not None:
+            start, at = m.start(), m.end()
+            if m[1]:
+                if empty := re.compile(r"-?>").match(text, at):
+                    end = empty.end()
+                else:
+                    end = text.find("-->", at)
+                    end = size if end < 0 else end + 3
+                name = rest = ""
+            elif m[3]:
+                name = m[3].lower()
+                end = size if self.loose else _REST.match(text, at).end()
+                if end >= size:
+                    self.loose = True
+                    end = text.find(">", at)
+                rest, end = text[at:end], end + 1
+            else:
+                name, rest, end = "", "", text.find(">", at) + 1
+            if not end:  # nothing closes it: what is left is text
+                return
+            self.at = end
+            yield start, end, bool(m[2]), name, rest
+
+    def skip(self, name: str) -> None:
+        """Go behind the end of the element that has just begun. Without an end tag raw text goes to the end of the page; of others only the tag is left out."""
+        if name in RAW:
+            end = _END[name].search(self.text, self.at, self.stop)
+            self.at = end.end() if end else len(self.text)
+        elif name not in self.unended:
+            depth, at = 1, self.at
+            while depth and (m := _EITHER[name].search(self.text, at, self.stop)):
+                depth, at = depth + (-1 if m[1] else not m[0].endswith("/>")), m.end()
+            if depth:
+                self.unended.add(name)
+            else:
+                self.at = at
 
 
 class Page:
@@ -67,45 +123,49 @@ class Page:
         self._parse(text)
 
     def _parse(self, text: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]  # name, node; inline elements carry their block's node
-        node, anchors, fresh, at = 0, 0, True, 0
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, node (inline elements carry their block's), place of the last block
+        places: dict[str, list[int]] = {}  # of each open name, in the stack
+        node, fresh, at = 0, True, 0
         blocks = self.blocks
-        for m in _TAG.finditer(text):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                piece = text[at : m.start()]
-                if fresh or blocks[-1][0] != node:
-                    blocks.append([node, [], 0])
-                    fresh = False
-                blocks[-1][1].append(piece)
-                if anchors:
-                    blocks[-1][2] += len(piece.split())
-            at = m.end()
-            if m[1]:
-                end = text.find("-->", at)
-                at = len(text) if end < 0 else end + 3
-                continue
-            if not m[3]:
+
+        def push(name: str, its: int) -> None:
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, its, len(stack) if name in BLOCK else stack[-1][2]))
+
+        def pop(to: int) -> None:
+            while len(stack) > to:
+                places[stack.pop()[0]].pop()
+
+        def add(piece: str) -> None:
+            nonlocal fresh
+            if fresh or not blocks or blocks[-1][0] != node:
+                blocks.append([node, [], 0])
+                fresh = False
+            blocks[-1][1].append(piece)
+            if places.get("a"):
+                blocks[-1][2] += len(piece.split())
+
+        tags = _Tags(text)
+        for start, end, ends, name, rest in tags:
+            if start > at:
+                add(text[at:start])
+            at = end
+            if not name:
                 continue
-            name = m[3].lower()
-            if m[2]:
-                if name == "a" and anchors:
-                    anchors -= 1
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if name in BLOCK:
-                            fresh = True
-                        elif any(s[0] in BLOCK for s in stack[i + 1 :]):
-                            break  # an inline end tag does not close blocks
-                        del stack[i:]
-                        node = stack[-1][1]
-                        break
+            if ends:
+                if open_ := places.get(name):
+                    i = open_[-1]
+                    if name in BLOCK:
+                        fresh = True
+                    elif stack[-1][2] > i:
+                        continue  # an inline end tag does not close blocks
+                    pop(i)
+                    node = stack[-1][1]
                 continue
             if name in SKIPPED:
-                if not m[4].endswith("/"):
-                    end = _END[name].search(text, at)
-                    at = end.end() if end else (at if name == "head" else len(text))
+                if not rest.endswith("/"):
+                    tags.skip(name)
+                    at = tags.at
                 continue
             self.tags[node] += 1
             if name in VOID:
@@ -113,37 +173,28 @@ class Page:
                     blocks[-1][1].append(" ")
                 fresh = fresh or name == "hr"
                 continue
-            if name == "a":
-                anchors += 1
-                self.links[node] += 1
-                stack.append((name, node))
-                continue
             if name not in BLOCK:
-                stack.append((name, node))
+                self.links[node] += name == "a"
+                push(name, node)
                 continue
             fresh = True
             closes = set(ENDS.get(name, ()))
             if name in CLOSES_P:
                 closes.add("p")
             for target in closes:
-                scope = SCOPE.get(target, ())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == target:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in scope:
-                        break
-            anchors = sum(s[0] == "a" for s in stack)
+                if open_ := places.get(target):
+                    if open_[-1] > max((places[x][-1] for x in SCOPE.get(target, ()) if places.get(x)), default=0):
+                        pop(open_[-1])
             above = stack[-1][1]
             good = bad = hidden = 0
-            if m[4]:
-                for x in _ATTR.findall(m[4]):
+            if rest:
+                for x in _ATTR.findall(rest):
                     for value in x:
                         for word in _PART.findall(value):
                             word = word.lower()
                             good += word in GOOD
                             bad += word in BAD
-                hidden = int(bool(_HIDE.search(m[4])))
+                hidden = int(bool(_HIDE.search(rest)))
             node = len(self.kind)
             self.kind.append(KIND[name])
             self.parent.append(above)
@@ -153,11 +204,9 @@ class Page:
             self.hidden.append(hidden)
             self.tags.append(0)
             self.links.append(0)
-            stack.append((name, node))
+            push(name, node)
         if at < len(text):
-            if fresh or not blocks or blocks[-1][0] != node:
-                blocks.append([node, [], 0])
-            blocks[-1][1].append(text[at:])
+            add(text[at:])
 
     def texts(self) -> list[tuple[int, str, int]]:
         """(node, text, link words) of the blocks that hold text, in page order."""
@@ -199,9 +248,10 @@ def features(page: Page, texts: list[tuple[int, str, int]]) -> np.ndarray:
     before, after = np.full(n, -1), np.full(n, -1)
     for kids in seen.values():
         kinds = [page.kind[k] for k in kids]
+        alike = Counter(kinds)
         for j, k in enumerate(kids):
             order[k], siblings[k] = j, len(kids)
-            same[k] = kinds.count(kinds[j]) if len(kids) <= 64 else len(kids)
+            same[k] = alike[kinds[j]]
             before[k] = kinds[j - 1] if j else -1
             after[k] = kinds[j + 1] if j + 1 < len(kids) else -1
     total = max(1.0, sub[0, 0])
