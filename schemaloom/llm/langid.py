@@ -27,32 +27,44 @@ from . import _common as c
 SAMPLE, LANGUAGE_GRAMS, DOCUMENT_GRAMS = 1000, 400, 300
 UNKNOWN = "und"
 MOST_LANGUAGES = 1000
-BITS = 13
+#: Bits of a code point in an n-gram; no letter lies beyond.
+BITS = 18
 ADDED = ("held_out", "lang_pred", "score")
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """Code point to a letter's number in BITS bits, 0 for all that is no letter; lower and upper case are one."""
-    out = np.zeros(0x110000, np.uint16)
-    for p in range(0x110000):
-        if 0xD800 <= p < 0xE000:
-            continue
-        ch = chr(p)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[p] = low if low < 1 << BITS else 0x400 + low % 7000
+    """Code point to its lower-case one, 0 for all that is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for p in range(1 << BITS):
+        if not 0xD800 <= p < 0xE000 and (ch := chr(p)).isalpha():
+            out[p] = ord(ch.lower()[0])
     return out
 
 
 def gram_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, n-grams and counts of a block, sorted by row and n-gram; and which rows have a letter."""
+    """Rows, n-grams and counts of a block, sorted by row and n-gram; and which rows have a letter.
+
+    An n-gram holds its length above its (up to three) code points of BITS bits
+    each, a blank counting as 0. To be sorted together with the row, the letters
+    of a block are numbered in order of their code points.
+    """
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     first = heads[at]
-    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    letter = _letters()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
     rows = len(at) - 1
-    letter = _letters()[cp]
+    used = np.zeros(1 << BITS, bool)
+    used[letter] = True
+    used[0] = True  # the blank
+    code = np.flatnonzero(used).astype(np.uint64)
+    bits = max(1, int(len(code) - 1).bit_length())
+    if 2 + 3 * bits + int(rows).bit_length() > 63 and rows > 1:  # more letters than fit beside the rows: half of the rows at a time
+        parts = [(0, rows // 2), (rows // 2, rows)]
+        parts = [(lo, gram_counts(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])) for lo, hi in parts]
+        return tuple(np.concatenate([x[i] + lo if i == 0 else x[i] for lo, x in parts]) for i in range(4))
+    number = np.zeros(1 << BITS, np.uint64)
+    number[used] = np.arange(len(code), dtype=np.uint64)
     row = np.repeat(np.arange(rows), np.diff(first))
     keep = letter > 0
     # one blank before each word and after it: words are runs of letters in a row
@@ -64,23 +76,29 @@ def gram_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     opens = start[spots]
     place = np.arange(len(spots)) + np.cumsum(opens)
     x = np.zeros(int(place[-1]) + 2, np.uint64)
-    x[place] = letter[spots]
+    x[place] = number[letter[spots]]
     r = np.zeros(len(x), np.uint64)
     r[place] = row[spots]
     r[place[opens] - 1] = row[spots[opens]]  # a blank counts to the row of the word that follows
-    s = np.uint64(BITS)
-    one = (r[place] << np.uint64(42)) | x[place] | np.uint64(1 << 40)
+    s = np.uint64(bits)
+    size, top = s * np.uint64(3), s * np.uint64(3) + np.uint64(2)
+    one = (r[place] << top) | x[place] | (np.uint64(1) << size)
     left = np.concatenate((place[opens] - 1, place))  # begins with a blank or a letter
-    two = (r[left] << np.uint64(42)) | (x[left] << s) | x[left + 1] | np.uint64(2 << 40)
+    two = (r[left] << top) | (x[left] << s) | x[left + 1] | (np.uint64(2) << size)
     # three: blank and two letters, or letters with an end or a letter; the middle is no blank
     mid = left[(x[left + 1] > 0) & (left + 2 < len(x))]
-    three = (r[mid] << np.uint64(42)) | (x[mid] << (s + s)) | (x[mid + 1] << s) | x[mid + 2] | np.uint64(3 << 40)
-    every = np.sort(np.concatenate((one, two[two & np.uint64(8191) > 0], three)))
+    three = (r[mid] << top) | (x[mid] << (s + s)) | (x[mid + 1] << s) | x[mid + 2] | (np.uint64(3) << size)
+    mask = (np.uint64(1) << s) - np.uint64(1)
+    every = np.sort(np.concatenate((one, two[two & mask > 0], three)))
     edge = np.concatenate(([0], np.flatnonzero(every[1:] != every[:-1]) + 1, [len(every)]))
     keys = every[edge[:-1]]
     has = np.zeros(rows, bool)
     has[row[spots]] = True
-    return (keys >> np.uint64(42)).astype(np.int64), keys & np.uint64((1 << 42) - 1), np.diff(edge), has
+    wide = np.uint64(BITS)
+    grams = ((keys >> size) & np.uint64(3)) << (wide * np.uint64(3))
+    for i in (2, 1, 0):
+        grams |= code[(keys >> (s * np.uint64(i))) & mask] << (wide * np.uint64(i))
+    return (keys >> top).astype(np.int64), grams, np.diff(edge), has
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +119,21 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"))
     # a hash test leaves about twice the sample of each language, so no task ranks all rows of one
     share = labelled.groupBy("lang").agg((F.lit(2.0 * sample + 100) / F.count(F.lit(1))).alias("share"))
+    share = share.limit(MOST_LANGUAGES + 1).collect()
+    if len(share) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages; no more profiles are kept by the driver")
+    share = df.sparkSession.createDataFrame(share, "lang string, share double")
+    # this table has MOST_LANGUAGES rows at most, the next one `sample` rows for each of them
     labelled = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     turn = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
     chosen = labelled.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample).select("_id", "lang")
-    chosen = F.broadcast(chosen.distinct())  # at most sample rows a language
+    chosen = F.broadcast(chosen.distinct())
     texts = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_text"))
     texts = texts.join(chosen, (texts["_id"].eqNullSafe(chosen["_id"])) & (texts["lang"] == chosen["lang"]), "left_semi").select("lang", "_text")
     counts = texts.mapInArrow(_sample_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LANGUAGE_GRAMS).select("lang", "gram", "rank").collect()
     langs = sorted({r[0] for r in top})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; profiles of at most {MOST_LANGUAGES} are kept by the driver")
     grams = np.array(sorted({r[1] for r in top}), np.uint64)
     ranks = np.full((len(grams) + 1, len(langs)), LANGUAGE_GRAMS, np.int64)
     for lang, gram, rank in top:
