@@ -29,13 +29,16 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A local folder stands in only where everything runs in this one process;
+    on a cluster the setting is required.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loom_shared", None)
     if not path:
-        path = getattr(spark, "_loom_shared", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="loom-")
-            spark._loom_shared = path
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = spark._loom_shared = "file://" + tempfile.mkdtemp(prefix="loom-")
     return path.rstrip("/")
 
 
@@ -76,6 +79,22 @@ def drop_spool(*frames: DataFrame) -> None:
             release(df.sparkSession, path)
 
 
+@contextlib.contextmanager
+def spools_of_a_step(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, what was spooled inside but for the paths put into the list that it gives."""
+    before, keep = set(_written), []
+    yield keep
+    if gone := [p for p in _written if p not in before and p not in keep]:
+        release(spark, *gone)
+
+
+def parts_for(df: DataFrame, each: int) -> int:
+    """Partitions of about `each` bytes by the optimiser's estimate of the input, spark.sql.shuffle.partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, estimate // each if estimate < 1 << 60 else 0)  # without statistics the estimate is the greatest number
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without the columns that an operator is about to add; input columns of those names are replaced."""
     taken = {n.lower() for n in names}

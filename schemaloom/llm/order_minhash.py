@@ -8,14 +8,14 @@ agree at a position when they select the same k-mers in the same order, so the
 share of equal positions falls with edit distance, moves included, where plain
 MinHash sees only the set.
 
-The order of a function is first a bit test that all functions share and a
-quarter of the k-mers pass, then a 32-bit multiply-shift hash of a well mixed
-64-bit k-mer hash, so three quarters are needed only in the shortest texts.
+The order of a function is a 32-bit multiplicative hash of a well mixed 64-bit
+k-mer hash; every k-mer of the text takes part in each.
 
 To meet its neighbour a document needs the next one in descending id order.
-Texts are range-partitioned by id once; a task streams its sorted range and
-keeps one document in hand. The last document of a range waits for the first
-of the next: only these, two a partition, are joined afterwards.
+Texts are range-partitioned by id (rows of one id by a hash of their text) once;
+a task streams its sorted range and keeps one document in hand. The last
+document of a range waits for the first of the next: only these, two a
+partition, are joined afterwards, by the number of the range that follows.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ MULTIPLIERS = (_rng.integers(1, 2**32, size=SKETCHES, dtype=np.uint64) | np.uint
 POINT_BASE = np.uint64(0x9E3779B97F4A7C15)
 POINT_INVERSE = np.uint64(pow(int(POINT_BASE), -1, 2**64))
 POINT_VALUES = c.mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
-#: The functions share one leading bit test: a quarter of all k-mers come before the others.
-SCRAMBLE, FIRST = np.uint64(0xD6E8FEB86659FD93), np.uint64(1 << 62)
 #: Hashes that are worked on at once: functions times k-mers.
 CELLS = 1 << 18
+#: Bytes of input that a range of documents should hold.
+RANGE_BYTES = 64 << 20
 EMPTY = "0" * (4 * SKETCHES)
 
 
@@ -48,11 +48,7 @@ def points(text: str) -> np.ndarray:
 
 
 def kmers(cp: np.ndarray) -> np.ndarray:
-    """Hashes of the k-mers in text order, without the three quarters that no function would pick.
-
-    A text shorter than K is one k-mer. If fewer than L k-mers come first by the
-    common bit test, all of them are kept, as all are then needed.
-    """
+    """Hashes of the k-mers in text order. A text shorter than K is one k-mer."""
     n = len(cp)
     if n == 0:
         return np.zeros(0, np.uint64)
@@ -60,9 +56,6 @@ def kmers(cp: np.ndarray) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(POINT_VALUES[cp] * c.powers(POINT_BASE, n), out=sums[1:])
     raw = (sums[k:] - sums[:-k]) * c.powers(POINT_INVERSE, n)[: n - k + 1]
-    ahead = (raw * SCRAMBLE) < FIRST
-    if int(ahead.sum()) >= L:
-        raw = raw[ahead]
     return c.mix(raw + np.uint64(k))
 
 
@@ -187,17 +180,16 @@ def fingerprints_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(parts, F.col("id").desc_nulls_last()).sortWithinPartitions(*order)
+    dealt = slim.repartitionByRange(c.parts_for(slim, RANGE_BYTES), *order).sortWithinPartitions(*order)
     done = dealt.select("id", "text", F.spark_partition_id().alias("part")).mapInArrow(_stream, RESULT + ", text string, edge int, part int")
     done = c.spool(done, "order-minhash")
     edges = done.where("edge > 0").select("doc_id", "text", "edge", "part")
-    # two rows a partition; each last row meets the first row of the next range, the very last the very first
-    turn = Window.partitionBy(F.lit(0)).orderBy("part")
-    heads = edges.where("edge = 1").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), "part").withColumn("slot", F.row_number().over(turn) - 1)
-    tails = edges.where("edge = 2").select("doc_id", "text", "part").withColumn("slot", F.row_number().over(turn))
-    tails = tails.withColumn("slot", F.col("slot") % F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    last = tails.drop("part").join(heads.drop("part"), "slot").select("doc_id", "text", "next_id", "next_text").mapInArrow(_pairs, RESULT)
+    heads = edges.where("edge = 1").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"), F.col("part").alias("after"))
+    # the numbers of the ranges alone, one row each, say which one follows; the very first follows the very last
+    turn = Window.partitionBy(F.lit(0)).orderBy("after")
+    every = Window.partitionBy(F.lit(0))
+    follows = heads.select("after").select(F.col("after").alias("part"), F.coalesce(F.lead("after").over(turn), F.min("after").over(every)).alias("after"))
+    last = edges.where("edge = 2").select("doc_id", "text", "part").join(follows, "part").join(heads, "after").select("doc_id", "text", "next_id", "next_text").mapInArrow(_pairs, RESULT)
     return done.where("edge = 0").select(*_NAMES).unionByName(last)
 
 
