@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Bytes of payload that an archive should hold, and gaps that one read may span.
-ARCHIVE_BYTES = 256 << 20
-READ_BYTES, READ_GAP = 1 << 20, 64 << 10
+#: Bytes and records that an archive should hold, bytes that one read and its gaps may span, and bytes that a reading task should read.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 256 << 20, 100_000
+READ_BYTES, READ_GAP, TASK_BYTES = 1 << 20, 64 << 10, 32 << 20
 INDEX = "page_id bigint, url string, digest string, payload_bytes bigint, record_type string, refers_to bigint, archive string, offset bigint, length bigint"
+_INDEX_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+_INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,11 +86,14 @@ def _write(folder: str):
         out, name, at = None, "", 0
         index: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*index))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in INDEX.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], names=names)
+        def close() -> Iterator[pa.RecordBatch]:
+            """Complete the archive; only then its index rows are given out."""
+            out.close()
+            store.move(f"{base}/{name}.part", f"{base}/{name}")
+            for lo in range(0, len(index), 10_000):
+                cols = list(zip(*index[lo : lo + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, _INDEX_KINDS)], names=_INDEX_NAMES)
+            index.clear()
 
         for batch in batches:
             payloads, lo = batch.column(2), 0
@@ -98,9 +103,8 @@ def _write(folder: str):
                 raw, offsets = c.utf8(part.column(2))
                 for i, (page, url, first, many) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist())):
                     payload = raw[offsets[i] : offsets[i + 1]].tobytes()
-                    if out is not None and at >= ARCHIVE_BYTES:
-                        out.close()
-                        store.move(f"{base}/{name}.part", f"{base}/{name}")
+                    if out is not None and (at >= ARCHIVE_BYTES or len(index) >= ARCHIVE_RECORDS):
+                        yield from close()
                         out = None
                     if out is None:
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -112,12 +116,7 @@ def _write(folder: str):
                     at += len(data)
             del payloads
         if out is not None:
-            out.close()
-            store.move(f"{base}/{name}.part", f"{base}/{name}")
-        # the index is given out only when every archive that it names is complete
-        for lo in range(0, len(rows := index), 10_000):
-            index = rows[lo : lo + 10_000]
-            yield flush()
+            yield from close()
 
     return run
 
@@ -182,8 +181,14 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0) -> DataFram
 
 
 def read_archives(spark, index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Read the records that the index rows name: sorted byte ranges, neighbours in one read."""
-    dealt = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    """Read the records that the index rows name: sorted byte ranges, neighbours in one read.
+
+    Tasks are as many as the bytes to be read ask for, not those of the index.
+    """
+    index = index.select("archive", "offset", "length")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
     return dealt.mapInArrow(_read(folder, payloads), schema)
 
