@@ -169,7 +169,8 @@ def repeated_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     hits = c.spool(hits.select(ID, KEY, "start", "n", (F.col(ID) > F.col("least")).alias("whole")), "seed-hits")
     whole = hits.where("whole").select(ID, KEY, "start", (F.col("n") + (length - 1)).alias("len"))
 
-    extend = hits.where("not whole").groupBy(ID, KEY).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    # sets: rows that repeat a document give its runs once, not once for each of them
+    extend = hits.where("not whole").groupBy(ID, KEY).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     windows = docs.join(extend, [ID, KEY]).select(ID, KEY, "_text", "runs").mapInArrow(_window_rows(length), rows + "w1 bigint, w2 bigint, start int")
     windows = c.spool(windows, "windows")
     first = windows.groupBy("w1", "w2").agg(F.min(ID).alias("least"), F.max(ID).alias("most")).where("least < most").drop("most")
@@ -192,7 +193,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(ID), key.alias(KEY), F.col(text_col).cast("string").alias("_text"))
     # a document's runs together hold at most a few entries a word, as the document itself does
-    runs = repeated_runs(docs, length).groupBy(ID, KEY).agg(F.collect_list(F.struct("start", "len")).alias("_runs"))
+    runs = repeated_runs(docs, length).groupBy(ID, KEY).agg(F.collect_set(F.struct("start", "len")).alias("_runs"))
     joined = df.withColumns({ID: F.col(id_col).cast("bigint"), KEY: key}).join(runs, [ID, KEY], "left").select(*df.columns, "_runs")
     schema = c.schema_of(df, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
     return joined.mapInArrow(_finish(df.columns.index(text_col), len(df.columns)), schema)
