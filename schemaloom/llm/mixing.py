@@ -81,8 +81,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken counts words, repeats included (0: not in the mix); position is the
     time in [0, 1] at which the document begins, position_again that of its
     second pass (null: no such pass). A null text has size 0 and takes nothing,
-    a null source is a source of its own, a null id sorts as an empty one.
-    Rows with equal ids follow each other by size. Input columns with the added
+    a null source is a source of its own; a row without an id stands where the
+    md5 of its text would be. Rows with equal ids follow each other by size,
+    then by a hash of their text. Input columns with the added
     names are replaced; an empty table gives an empty table.
     """
     if most != 2:
@@ -90,7 +91,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     size = word_count(F.col(text_col).cast("string")) if size is None else size
     base = df.withColumn("_size", size)
     rest = [x for x in df.columns if x != text_col and x.lower() not in ADDED]
-    base = base.select(*[F.col(f"`{x}`") for x in rest], F.col("_size"), F.col(source_col).cast("string").alias("_src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_order"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in df.columns else F.lit("")
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(text.cast("binary"))).cast("binary"))  # rows without an id are dealt by their texts
+    base = base.select(*[F.col(f"`{x}`") for x in rest], F.col("_size"), F.col(source_col).cast("string").alias("_src"), order.alias("_order"), F.xxhash64(text).alias("_tie"))
     base = c.spool(base, "sizes")
     digits = max(1, math.ceil(math.log(max(1, base.count() / BUCKET_ROWS), 16)) + 1)
     base = base.withColumn("_bucket", F.substring("_order", 1, digits))
@@ -99,7 +102,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     starts = starts.join(sources, F.col("_src").eqNullSafe(F.col("source"))).select(F.coalesce("_src", F.lit("")).alias("_s"), F.col("_src").isNull().alias("_n"), "_bucket", "_before", "source_size", "target", F.col("slope").alias("_slope"))
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_src", "_bucket").orderBy("_order", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("_at", F.coalesce(F.sum("_size").over(inside), F.lit(0))).withColumns({"_s": F.coalesce("_src", F.lit("")), "_n": F.col("_src").isNull()})
     placed = placed.join(starts, ["_s", "_n", "_bucket"])
     offset, want = F.col("_at") + F.col("_before"), F.floor("target").cast("bigint")
@@ -125,21 +128,26 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """The op4 query over all documents: a row each, range-sorted by training position (those not in the mix last)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     begins = [F.col(x).asc_nulls_last() for x in ("position", "position_again", "doc_id")]  # the id splits what has no position
-    return mix(docs).repartitionByRange(*begins).sortWithinPartitions(*begins).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).repartitionByRange(*begins).sortWithinPartitions(*begins).select("doc_id", "size", "source_size", "target", "taken", "position", "position_again")
 
 
 OP4_SQL = r"""
-with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '')) as o from documents),
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))) as o from documents),
  s as (select source, sum(size)::bigint as source_size from d group by source),
  r as (select *, row_number() over (order by source asc nulls last) - 1 as turn from s),
- w as (select *, case turn % 3 when 0 then 3 when 1 then 1 else 2 end as weight, 2 * source_size as cap from r),
+ w as (select *, case turn % 3 when 0 then 3 when 1 then 1 else 2 end as weight,
+         case turn % 3 when 0 then 0.5::double when 1 then 0.0::double else -0.5::double end as slope, 2 * source_size as cap from r),
  f as (select *, cap::double / weight as ratio from w),
  l as (select *, (sum(source_size) over ()::double * 1.5 - coalesce(sum(cap) over b, 0)::double) / (sum(weight) over () - coalesce(sum(weight) over b, 0))::double as lvl
        from f window b as (order by ratio, turn rows between unbounded preceding and 1 preceding)),
  c as (select (select lvl from l where lvl <= ratio order by ratio, turn limit 1) as chosen),
- t as (select source, source_size, case when chosen is null or ratio < chosen then cap::double else chosen * weight end as target from l, c),
- p as (select d.*, source_size, least(target, 2.0 * source_size) as target, coalesce(sum(size) over (partition by d.source order by o, size rows between unbounded preceding and 1 preceding), 0)::bigint as a
-       from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  cast(greatest(0, least(size, floor(target)::bigint - a)) + greatest(0, least(size, floor(target)::bigint - a - source_size)) as bigint) as taken from p
+ t as (select source, source_size, slope, case when chosen is null or ratio < chosen then cap::double else chosen * weight end as target from l, c),
+ p as (select d.*, source_size, slope, least(target, 2.0 * source_size) as target, coalesce(sum(size) over (partition by d.source order by o, size rows between unbounded preceding and 1 preceding), 0)::bigint as a
+       from d join t on d.source is not distinct from t.source),
+ q as (select *, greatest(0, least(size, floor(target)::bigint - a)) as once, greatest(0, least(size, floor(target)::bigint - a - source_size)) as again,
+         a::double / target as x, (a + source_size)::double / target as y from p)
+select doc_id, size, source_size, target, cast(once + again as bigint) as taken,
+  case when once > 0 then case when slope = 0 then x else (sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope) end end as position,
+  case when again > 0 then case when slope = 0 then y else (sqrt((1 - slope) * (1 - slope) + 4 * slope * y) - (1 - slope)) / (2 * slope) end end as position_again
+from q
 """
