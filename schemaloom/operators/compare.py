@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from schemaloom.functions import lexicon as w
 from schemaloom.plans.dialect import has, run, values
+from schemaloom.sources.fields import Field
 
 PROFILE = ["path", "kind", "atoms", "required"]
 
@@ -104,3 +105,26 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def evolution(old: DataFrame, new: DataFrame) -> DataFrame:
     return compare(old.sparkSession, "evo_basic", left=old, right=new)
+
+
+_ATOMS = {"INT64": "int", "FLOAT64": "float", "NUMERIC": "float", "BOOLEAN": "bool", "STRING": "str", "BYTES": "str", "DATE": "date", "TIME": "time", "TIMESTAMP": "timestamp", "DATETIME": "timestamp", "RECORD": "object", "JSON": "object"}
+
+
+def profile(spark: SparkSession, fields: list[Field]) -> DataFrame:
+    """path, kind, atoms, required."""
+    rows = []
+
+    def walk(fields: list[Field], prefix: str) -> None:
+        for f in fields:
+            path = prefix + f.name
+            many = f.mode == "REPEATED"
+            rows.append((path, "array" if many else "object" if f.type == "RECORD" else "scalar", "array" if many else _ATOMS.get(f.type, "any"), many or f.mode == "REQUIRED" or f.type == "RECORD"))
+            walk(f.fields, path + ("[0]." if many else "."))
+
+    walk(fields, "")
+    return spark.createDataFrame(rows, "path string, kind string, atoms string, required boolean")
+
+
+def plain_path(path: str) -> str:
+    """root['a']['b'] as a.b."""
+    return path.removeprefix("root").replace("']['", ".").replace("['", ".").replace("']", "").lstrip(".")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.errors import SchemaError
+
 # ISO 8601 shapes of timestamps, dates and times.
 TIMESTAMP = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -61,7 +63,8 @@ def paths_with(records: DataFrame, keep: list[str], levels: int, datetimes: bool
 
     Each level is one variant_explode, so a record is parsed once and its values
     are cut, not copied. A node travels down with its first child until the
-    last level, where all nodes of a row are unfolded.
+    last level, where all nodes of a row are unfolded. Objects and arrays that
+    stand there and hold more have the atoms object+ and array+.
     """
     unfold, none = records.sparkSession.tvf.variant_explode_outer, F.array().cast(NODES)
     now = records.select(*keep, F.lit("").alias("path"), F.lit(None).cast("string").alias("parent"), F.col("rec").alias("v"), none.alias("above"))
@@ -76,7 +79,10 @@ def paths_with(records: DataFrame, keep: list[str], levels: int, datetimes: bool
         member = F.col("key").isNotNull()
         path = F.when(member, F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))).when(F.col("pos").isNotNull(), F.concat("path", F.lit("[0]")))
         now = grown.select(*keep, path.alias("path"), F.when(member, F.col("path")).alias("parent"), F.col("value").alias("v"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("nodes")).otherwise(none).alias("above"))
-    return named(now).select(*keep, F.explode("nodes").alias("n")).select(*keep, "n.path", "n.parent", "n.atom")
+    last = now.withColumn("kind", F.when(F.col("path").isNotNull(), F.expr("schema_of_variant(v)"))).withColumn("atom", atom("v", "kind", datetimes))
+    marked = F.when(F.col("atom").isin("object", "array"), F.concat("atom", F.lit("+"))).otherwise(F.col("atom"))
+    nodes = F.when(F.col("path").isNull(), F.col("above")).otherwise(F.concat("above", F.array(F.struct("path", "parent", marked.alias("atom")))))
+    return last.select(*keep, F.explode(nodes).alias("n")).select(*keep, "n.path", "n.parent", "n.atom")
 
 
 #: From counts (path, parent, atom, n) to the merged profile (path, type_repr, n), as SQL; merge() is the same as one aggregate and two joins.
@@ -101,6 +107,36 @@ def counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path", "parent", "atom").agg(F.count(F.lit(1)).alias("n"))
 
 
+_held: list[DataFrame] = []
+#: Levels that documents may have; deeper ones are an error, not a shorter profile.
+MOST_LEVELS = 512
+
+
+def release() -> None:
+    """Let go of the counts that profiles keep in memory; profiles not yet read are then counted again."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    """A small table that several joins read, kept until release()."""
+    _held.append(found.cache())
+    return found
+
+
+def full_counts(records: DataFrame, depth: int | None = None, datetimes: bool = False) -> DataFrame:
+    """Counts of all nodes: while some level holds more below it, the records are unfolded twice as deep."""
+    levels = (depth_of(records) + 2) if depth is None else depth
+    while True:
+        found = _kept(counts(paths(records, levels, datetimes)))
+        if found.where(F.col("atom").endswith("+")).isEmpty():
+            return found
+        if levels >= MOST_LEVELS:
+            raise SchemaError("documents nest too deep", levels=levels)
+        _held.pop().unpersist()
+        levels = min(MOST_LEVELS, 2 * levels)
+
+
 def merge(found: DataFrame) -> DataFrame:
     """Counts (path, parent, atom, n) to the merged profile: path, type_repr, n.
 
@@ -108,7 +144,7 @@ def merge(found: DataFrame) -> DataFrame:
     a path of several kinds nothing is listed.
     """
     container = F.col("atom").isin("object", "empty_object")
-    per = found.groupBy("path").agg(F.min("parent").alias("parent"), F.sum("n").alias("n"), F.sum(F.when(container, F.col("n"))).alias("objects"), F.collect_set("atom").alias("atoms")).cache()  # one row per path
+    per = _kept(found.groupBy("path").agg(F.min("parent").alias("parent"), F.sum("n").alias("n"), F.sum(F.when(container, F.col("n"))).alias("objects"), F.collect_set("atom").alias("atoms")))  # one row per path
     owner = per.where("objects is not null").select(F.col("path").alias("parent"), F.col("objects").alias("have"))
     full = per.join(owner, "parent", "left").withColumn("atoms", F.when((F.col("path") != "") & (F.col("n") < F.col("have")), F.array_union("atoms", F.array(F.lit("missing")))).otherwise(F.col("atoms")))
     only = lambda *kinds: F.size(F.array_except("atoms", F.array(*map(F.lit, kinds)))) == 0
@@ -132,8 +168,8 @@ def merge_profiles(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def infer(records: DataFrame, depth: int | None = None, datetimes: bool = False) -> DataFrame:
-    """The merged profile of records (rec: VARIANT): path, type_repr, n."""
-    return merge(counts(paths(records, depth, datetimes)))
+    """The merged profile of records (rec: VARIANT): path, type_repr, n. depth is where unfolding starts; it goes on as deep as the records do."""
+    return merge(full_counts(records, depth, datetimes))
 
 
 def bad_records(df: DataFrame, column: str) -> DataFrame:

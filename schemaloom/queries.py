@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom import text_queries
 from schemaloom.operators import analytics, compare, infer, rules
 from schemaloom.plans import dialect, fixtures
 from schemaloom.sources import fields, records
@@ -130,7 +131,7 @@ def _counts_sql(table: str, text: str) -> str:
       from (select {text} as doc from {table}) as d, json_tree(d.doc) as t where not regexp_matches(fullkey, '[[][1-9]')) as z group by path, parent, atom)"""
 
 
-def infer_merge_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def infer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profiles of the odd and of the even orders, merged: all orders are read."""
     halves = [infer.counts(infer.paths(order_documents(spark, sf_dir).where(F.col("o_orderkey") % 2 == i), 5)) for i in (0, 1)]
     return infer.merge_profiles(*halves)
@@ -145,8 +146,7 @@ QUERIES |= {
     "infer_merged": lambda spark, sf_dir: infer.infer(order_documents(spark, sf_dir), 5),
     "infer_events": lambda spark, sf_dir: infer.infer(event_documents(spark, sf_dir)),
     "infer_union": lambda spark, sf_dir: infer.infer(order_documents(spark, sf_dir), 5).where("type_repr like 'union%'").select("path", "type_repr"),
-    "infer_merge": lambda spark, sf_dir: infer.infer(order_documents(spark, sf_dir).where("o_orderkey % 2 = 0"), 5).select("path", "type_repr"),
-    "infer_merge_halves": infer_merge_halves,
+    "infer_merge": infer_merge,
     "infer_datetime": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("to_json(struct(date_format(o_orderdate, 'yyyy-MM-dd') as d, date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") as t, o_orderpriority as p))").alias("j")).select(F.expr("try_parse_json(j)").alias("rec")).transform(lambda df: infer.infer(df, 2, datetimes=True)),
     "bad_records": lambda spark, sf_dir: infer.bad_records(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("props"))), "props"),
     "sample_nth": lambda spark, sf_dir: records.nth(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus"), 7, "o_orderkey"),
@@ -156,15 +156,13 @@ QUERIES |= {
     "sample_values": lambda spark, sf_dir: records.field_samples(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as ordinal", "stack(2, 'status', o_orderstatus, 'priority', o_orderpriority) as (path, value)")),
     "sample_fmt": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", records.format_sample(F.lit("str"), F.col("p_name"), 8).alias("shown")),
 }
-_EVEN = dialect.for_duckdb(infer.MERGE, counts=_counts_sql("(select * from orders where o_orderkey % 2 = 0)", _DOC_DUCK))
 ORACLE_SQL |= {
     "infer_atom": f"select atom, cast(sum(n) as bigint) as n from {_counts_sql('orders', _DOC_DUCK)} group by atom",
     "infer_tree": f"select path, atom, n from {_counts_sql('orders', _DOC_DUCK)}",
     "infer_merged": _MERGED["orders"],
     "infer_events": _MERGED["events"],
     "infer_union": f"select path, type_repr from ({_MERGED['orders']}) where type_repr like 'union%'",
-    "infer_merge": f"select path, type_repr from ({_EVEN})",
-    "infer_merge_halves": _MERGED["orders"],
+    "infer_merge": _MERGED["orders"],
     "infer_datetime": "select * from (select 'd' as path, 'date' as type_repr, count(*) as n from orders union all select 't', 'timestamp', count(*) from orders union all select 'p', 'str', count(*) from orders)",
     "bad_records": "select cast(count(case when event_id % 10 = 0 then 1 end) as bigint) as bad_records, count(*) as records from events",
     "sample_nth": "select o_orderkey, o_orderstatus from orders order by o_orderkey limit 1 offset 6",
@@ -173,3 +171,8 @@ ORACLE_SQL |= {
     "sample_values": "select path, turn, value from (select path, value, cast(row_number() over (partition by path order by seen, value) as int) as turn from (select path, value, min(o_orderkey) as seen from (select o_orderkey, 'status' as path, o_orderstatus as value from orders union all select o_orderkey, 'priority', o_orderpriority from orders) as u where value is not null group by path, value) as f) as r where turn <= 5",
     "sample_fmt": "select p_partkey, case when p_name is null then 'null' when length(p_name) > 8 then '\"' || substr(p_name, 1, 8) || '...\"' else '\"' || p_name || '\"' end as shown from part",
 }
+
+# ---------------------------------------------------------------- schema texts, renderings, reports and sources
+
+QUERIES |= text_queries.QUERIES
+ORACLE_SQL |= text_queries.ORACLE_SQL

@@ -41,6 +41,33 @@ def rows(table: str, fields: list[Field], parent: str = "", depth: int = 0) -> l
     return out
 
 
+def leaves(fields: list[Field], prefix: str = "") -> list[str]:
+    """Paths of fields that hold no record; arrays are not entered."""
+    out = []
+    for f in fields:
+        inner = f.type == "RECORD" and f.mode != "REPEATED" and f.fields
+        out += leaves(f.fields, f"{prefix}{f.name}.") if inner else [prefix + f.name]
+    return out
+
+
+def required(fields: list[Field], prefix: str = "") -> list[str]:
+    """Paths of required fields outside arrays."""
+    out = []
+    for f in fields:
+        if f.mode != "REPEATED":
+            out += [prefix + f.name] * (f.mode == "REQUIRED" or f.required) + required(f.fields, f"{prefix}{f.name}.")
+    return out
+
+
+def tree(fields: list[Field]) -> dict:
+    """Fields as nested dicts of types; arrays as lists of one element."""
+    out = {}
+    for f in fields:
+        kind = tree(f.fields) if f.type == "RECORD" else f.type
+        out[f.name] = [kind] if f.mode == "REPEATED" else kind
+    return out
+
+
 _PART = re.compile(r'\s*([^\s:,()]+)\s*:\s*(\w+)([!*]?)(?:"([^"]*)")?(#?)\s*(\(|,|\)|$)|\s*(\)),?')
 
 

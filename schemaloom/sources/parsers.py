@@ -1,8 +1,8 @@
 """Schema texts to fields: JSON Schema, Spark trees, SQL DDL, dbt, protobuf and BigQuery JSON.
 
-Schemas are small, so parsing runs on the driver; every parser returns Field
-trees whose types are canonical (INT64, STRING, RECORD, ...), and catalog()
-makes them a DataFrame like any other catalog.
+Every parser returns Field trees whose types are canonical (INT64, STRING,
+RECORD, ...). One text is parsed where it is asked for; operators/texts.py
+parses tables of them on the executors.
 """
 
 from __future__ import annotations
@@ -11,14 +11,27 @@ import json
 import re
 from pathlib import Path
 
+from pyspark.sql import types as T
+
+from schemaloom.functions.errors import SchemaError, SettingError
 from schemaloom.functions.lexicon import SPARK_TYPES, SQL_TYPES
-from schemaloom.sources.fields import Field
+from schemaloom.sources.fields import Field, from_struct
+from schemaloom.sources.yaml_text import read_yaml
 
 _NATIVE = {"int": "INT64", "float": "FLOAT64", "bool": "BOOLEAN", "str": "STRING", "date": "DATE", "time": "TIME", "timestamp": "TIMESTAMP", "any": "ANY", "object": "JSON", "missing": "ANY"}
 
 
-class SchemaError(ValueError):
-    """A schema text that cannot be read."""
+def walk(fields: list[Field]):
+    """All fields, parents before children."""
+    for f in fields:
+        yield f
+        yield from walk(f.fields)
+
+
+def unquoted(name: str) -> str:
+    """A name without the quotes around it."""
+    name = name.strip()
+    return name[1:-1] if len(name) > 1 and name[0] in "'\"`[" and name[-1] in "'\"`]" else name
 
 
 # ---------------------------------------------------------------- JSON Schema
@@ -121,36 +134,40 @@ _CREATE = re.compile(r"create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\
 _STOP = re.compile(r"\s+(?:not\s+null|null|default|collate|references|generated|identity|options|primary|unique|check|constraint|on\s+(?:update|delete))\b.*$", re.I | re.S)
 
 
-def sql_type(name: str, text: str, mode: str = "NULLABLE") -> Field:
-    text = text.strip()
+def sql_type(name: str, text: str, mode: str = "NULLABLE", names: dict[str, str] = SQL_TYPES) -> Field:
+    text = re.sub(r"\s*([<>])\s*", r"\1", text.strip())
     low = text.lower()
     if low.startswith("array<") and text.endswith(">"):
-        inner = sql_type(name, text[6:-1])
+        inner = sql_type(name, text[6:-1], "NULLABLE", names)
         return Field(name, inner.type, "REPEATED", None, [], inner.fields)
     if low.startswith("struct<") and text.endswith(">"):
-        return Field(name, "RECORD", mode, None, [], [_sql_column(x) for x in _split(text[7:-1])])
+        return Field(name, "RECORD", mode, None, [], [_sql_column(x, names) for x in _split(text[7:-1])])
+    if low.startswith("map<"):
+        return Field(name, "JSON", mode)
     if text.endswith("[]"):
-        return Field(name, sql_type(name, text[:-2]).type, "REPEATED")
-    return Field(name, _NATIVE[SQL_TYPES.get(re.sub(r"\s*\([^)]*\)", "", low).strip(), "any")], mode)
+        inner = sql_type(name, text[:-2], "NULLABLE", names)
+        return Field(name, inner.type, "REPEATED", None, [], inner.fields)
+    return Field(name, _NATIVE[names.get(re.sub(r"\s*\([^)]*\)", "", low).strip(), "any")], mode)
 
 
-def _sql_column(text: str) -> Field:
+def _sql_column(text: str, names: dict[str, str] = SQL_TYPES) -> Field:
     m = re.match(r"\s*(`[^`]+`|\"[^\"]+\"|[\w$]+)\s+(.*)$", text, re.S)
     if not m:
         raise SchemaError(f"no column in {text!r}")
-    name, rest = m[1].strip('`"'), m[2].strip()
+    name, rest = unquoted(m[1]), m[2].strip()
     cut = 0
-    if re.match(r"(array|struct)\s*<", rest, re.I):
+    if re.match(r"(array|struct|map)\s*<", rest, re.I):
         deep = 0
         for cut, ch in enumerate(rest):
             deep += (ch == "<") - (ch == ">")
             if ch == ">" and not deep:
                 break
-        kind, tail = rest[: cut + 1], " " + rest[cut + 1 :]
+        many = re.match(r"(\[\])*", rest[cut + 1 :])[0]
+        kind, tail = rest[: cut + 1] + many, " " + rest[cut + 1 + len(many) :]
     else:
         kind = _STOP.sub("", " " + rest).strip()
         tail = (" " + rest)[len(kind) + 1 :]
-    f = sql_type(name, kind)
+    f = sql_type(name, kind, "NULLABLE", names)
     note = re.search(r"description\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", tail)
     f.description = (note[1] or note[2]) if note else None
     f.required = bool(re.search(r"not\s+null|primary\s+key", tail, re.I))
@@ -159,9 +176,9 @@ def _sql_column(text: str) -> Field:
     return f
 
 
-def sql_tables(text: str) -> dict[str, list[Field]]:
+def sql_tables(text: str, names: dict[str, str] = SQL_TYPES) -> dict[str, list[Field]]:
     """Every CREATE TABLE of a text by name; a loose column list has the name ''."""
-    text = re.sub(r"--.*?$", "", text, flags=re.M)
+    text = re.sub(r"--.*?$|/\*.*?\*/", "", text, flags=re.M | re.S)
     out = {}
     for m in _CREATE.finditer(text):
         deep, i = 1, m.end()
@@ -169,9 +186,9 @@ def sql_tables(text: str) -> dict[str, list[Field]]:
             deep += (text[i] == "(") - (text[i] == ")")
             i += 1
         columns = [x for x in _split(text[m.end() : i - 1]) if not re.match(r"(primary|foreign|unique|constraint|check)\b", x, re.I)]
-        out[m[1].replace("`", "").replace('"', "")] = [_sql_column(x) for x in columns]
+        out[m[1].replace("`", "").replace('"', "")] = [_sql_column(x, names) for x in columns]
     if not out and text.strip():
-        out[""] = [_sql_column(x.rstrip(",")) for x in _split(text.strip().rstrip(";"))]
+        out[""] = [_sql_column(x.rstrip(","), names) for x in _split(text.strip().rstrip(";"))]
     return out
 
 
@@ -208,9 +225,10 @@ def dbt_manifest(text: str, model: str | None = None) -> list[Field]:
     raise SchemaError(f"no model {model!r}")
 
 
-def dbt_yaml(document: dict, model: str | None = None) -> list[Field]:
-    """A schema.yml that a YAML library has read."""
-    for m in document.get("models", []):
+def dbt_yaml(text: str | dict, model: str | None = None) -> list[Field]:
+    """A schema.yml, as text or already read."""
+    document = read_yaml(text) if isinstance(text, str) else text
+    for m in (document or {}).get("models") or []:
         if model is None or m.get("name") == model:
             return _dbt_columns(m.get("columns") or [])
     raise SchemaError(f"no model {model!r}")
@@ -343,71 +361,156 @@ def unwrap(fields: list[Field]) -> list[Field]:
 
 # ---------------------------------------------------------------- kinds
 
-PARSERS = {"json_schema": json_schema, "spark": spark_tree, "sql": sql_schema, "dbt_manifest": dbt_manifest, "dbt_model": dbt_model, "protobuf": proto_schema, "bigquery": bigquery_json}
+def spark_json(text: str) -> list[Field]:
+    """The JSON of a Spark schema."""
+    return from_struct(T.StructType.fromJson(json.loads(text)))
+
 
+def spark_ddl(text: str) -> list[Field]:
+    """A Spark schema as DDL: a column list, or CREATE TABLE with one."""
+    found = sql_tables(re.sub(r"([<,]\s*)(`[^`]+`|\w+)\s*:\s*", r"\1\2 ", text), SQL_TYPES | SPARK_TYPES)
+    return found[sorted(found)[0]]
 
-def register(kind: str, parser) -> None:
-    """Add a parser: text (and a selection) to fields."""
+
+def list_of_fields(document) -> dict | object:
+    """[{name, type}, ...] or [{name: type}, ...] as {name: type}; anything else as it is."""
+    if isinstance(document, list) and document and all(isinstance(x, dict) for x in document):
+        if all("name" in x for x in document):
+            return {str(x["name"]): next((x[k] for k in ("type", "dataType", "dtype") if k in x), "any") for x in document}
+        if all(len(x) == 1 for x in document):
+            return {str(k): v for x in document for k, v in x.items()}
+    return document
+
+
+PARSERS = {"json_schema": json_schema, "spark": spark_tree, "spark_json": spark_json, "spark_ddl": spark_ddl, "sql": sql_schema, "dbt_manifest": dbt_manifest, "dbt_yaml": dbt_yaml, "dbt_model": dbt_model, "protobuf": proto_schema, "bigquery": bigquery_json}
+#: Kinds whose texts hold several tables, models or messages.
+SELECTING = {"sql", "dbt_manifest", "dbt_yaml", "protobuf"}
+
+
+def register(kind: str, parser, selecting: bool = False) -> None:
+    """Add a parser: text (and a selection, if selecting) to fields."""
     PARSERS[kind] = parser
+    if selecting:
+        SELECTING.add(kind)
 
 
-def guess_kind(name: str, text: str) -> str:
-    """The kind of a schema file from its name and contents; data if nothing else fits."""
-    suffix = Path(name).suffix.lower()
-    if suffix == ".proto":
-        return "protobuf"
-    if suffix == ".sql":
-        ddl = len(re.findall(r"\bcreate\s+(?:or\s+replace\s+)?table\b", text, re.I))
-        model = len(re.findall(r"\{\{|\bselect\b", text, re.I))
-        return "sql" if ddl or not model else "dbt_model"
-    if suffix in (".yml", ".yaml"):
-        return "dbt_yaml"
-    if suffix == ".txt" or text.lstrip().startswith("root\n"):
-        return "spark" if "|--" in text else "sql"
+# How much of a file is looked at, and words by which SQL files are told apart.
+JSON_PEEK, SQL_PEEK = 131072, 8192
+DDL_WORDS = ["create table", "create or replace table", "create schema", "alter table", "drop table"]
+MODEL_WORDS = ["select", "{{", "ref(", "source(", "config(", "var("]
+
+
+def sniff_sql(text: str) -> str:
+    """sql or dbt_model: any word of DDL decides, then any of a model."""
+    low = re.sub(r"--.*?$|/\*.*?\*/", "", text[:SQL_PEEK].lower(), flags=re.M | re.S)
+    return "dbt_model" if not any(w in low for w in DDL_WORDS) and any(w in low for w in MODEL_WORDS) else "sql"
+
+
+def sniff_json(text: str) -> str:
+    """bigquery, dbt_manifest, json_schema or data, from the beginning of a JSON text. A text cut off is data."""
     try:
-        data = json.loads(text)
+        data = json.loads(text[:JSON_PEEK].lstrip("\ufeff"))
     except ValueError:
         return "data"
-    if isinstance(data, dict):
-        if str(data.get("kind", "")).startswith("bigquery#"):
-            return "bigquery"
-        if "nodes" in data and "metadata" in data:
-            return "dbt_manifest"
-        if "$schema" in data or "properties" in data or any(k in data for k in ("oneOf", "anyOf", "allOf")):
-            return "json_schema"
-    if isinstance(data, list) and data and all(isinstance(x, dict) and {"name", "type"} <= set(x) for x in data):
+    if not isinstance(data, dict):
+        return "data"
+    inner = lambda key: data.get(key) if isinstance(data.get(key), dict) else {}
+    if str(data.get("kind", "")).startswith("bigquery#") and "fields" in inner("schema"):
         return "bigquery"
+    if isinstance(data.get("nodes"), dict) or isinstance(data.get("sources"), dict) or "child_map" in data or "dbt_version" in inner("metadata"):
+        return "dbt_manifest"
+    if data.get("$schema") or data.get("type") == "object" and isinstance(data.get("properties"), dict) or any(k in data for k in ("oneOf", "anyOf", "allOf", "definitions", "$defs", "items")):
+        return "json_schema"
     return "data"
 
 
-# Families of formats, their representations (the first is the default) and other names.
-FORMATS = {"data": ["json", "jsonl", "csv", "parquet", "orc"], "json-schema": ["draft-07"], "spark": ["tree", "ddl"], "sql": ["postgres", "bigquery"], "bq": ["json", "ddl", "live"], "dbt": ["manifest", "yaml", "model"], "proto": ["proto2", "proto3"]}
-ALIASES = {"json": "data:json", "jsonl": "data:jsonl", "ndjson": "data:jsonl", "jsonschema": "json-schema:draft-07", "bigquery": "bq:json", "protobuf": "proto:proto3", "postgres": "sql:postgres"}
+def is_bigquery_json(text: str) -> bool:
+    """A table resource of the warehouse's API."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        return False
+    return isinstance(data, dict) and str(data.get("kind", "")).startswith("bigquery#") and isinstance(data.get("schema"), dict) and "fields" in data["schema"]
+
+
+_LIVE = re.compile(r"[^:/]+:[^:./][^:/]*\.[^:/]*[^:./]")
+
+
+def guess_kind(name: str, text: str) -> str:
+    """The kind of an input from its name and, for SQL and JSON, its contents; data if nothing else fits."""
+    suffixes = [x.lower() for x in Path(name).suffixes]
+    last = next((x for x in reversed(suffixes) if x != ".gz"), "")
+    by_name = {".proto": "protobuf", ".yml": "dbt_yaml", ".yaml": "dbt_yaml", ".txt": "spark"}
+    if last in by_name:
+        return by_name[last]
+    if last == ".sql":
+        return sniff_sql(text)
+    if last not in (".json", ".ndjson", ".jsonl") and ".gz" not in suffixes and _LIVE.fullmatch(name):
+        return "live"
+    return sniff_json(text)
+
+
+# Families of formats with their representations, the default ones, other names, and the parsers that read them.
+FORMATS = {
+    "spark": ["json", "ddl", "tree"],
+    "bq": ["table", "json", "ddl", "api-json"],
+    "sql": ["ddl"],
+    "dbt": ["manifest", "yml", "model"],
+    "jsonschema": ["json"],
+    "proto": ["sdl"],
+    "data": ["json", "jsonl", "parquet", "orc", "csv"],
+}
+DEFAULTS = {"spark": "json", "bq": "table", "sql": "ddl", "dbt": "manifest", "jsonschema": "json", "proto": "sdl", "data": "json"}
+ALIASES = {
+    "spark": "spark:json", "spark-tree": "spark:tree", "spark-json": "spark:json", "spark-ddl": "spark:ddl",
+    "bigquery": "bq:table", "bq-table": "bq:table", "bq-json": "bq:json", "bq-api-json": "bq:api-json", "bq-ddl": "bq:ddl", "bigquery-json": "bq:json", "bigquery-api-json": "bq:api-json",
+    "sql": "sql:ddl", "sql-ddl": "sql:ddl", "jsonschema": "jsonschema:json", "json_schema": "jsonschema:json", "json-schema": "jsonschema:json", "protobuf": "proto:sdl",
+    "dbt-manifest": "dbt:manifest", "dbt-yml": "dbt:yml", "dbt-yaml": "dbt:yml", "dbt-model": "dbt:model",
+    "data": "data:json", "json": "data:json", "ndjson": "data:jsonl", "jsonl": "data:jsonl", "parquet": "data:parquet", "orc": "data:orc", "csv": "data:csv",
+}
+KINDS = {
+    "spark:json": "spark_json", "spark:ddl": "spark_ddl", "spark:tree": "spark", "bq:table": "live", "bq:json": "bigquery", "bq:ddl": "sql", "bq:api-json": "bigquery", "sql:ddl": "sql",
+    "dbt:manifest": "dbt_manifest", "dbt:yml": "dbt_yaml", "dbt:model": "dbt_model", "jsonschema:json": "json_schema", "proto:sdl": "protobuf",
+    "data:json": "data", "data:jsonl": "data", "data:parquet": "data:parquet", "data:orc": "data:orc", "data:csv": "data:csv",
+}
 
 
 def parse_format(text: str) -> tuple[str, str]:
     """family:representation, with defaults and other names."""
-    text = ALIASES.get(text.strip().lower(), text.strip().lower())
-    family, _, form = text.partition(":")
-    if family not in FORMATS or (form and form not in FORMATS[family]):
-        raise SchemaError(f"unknown format {text!r}; one of {', '.join(all_formats())}")
-    return family, form or FORMATS[family][0]
+    low = text.strip().lower()
+    family, _, form = ALIASES.get(low, low).partition(":")
+    family, form = family.strip(), form.strip() or DEFAULTS.get(family.strip(), "")
+    if family not in FORMATS:
+        raise SettingError("unknown family of formats", format=text, known=" ".join(sorted(FORMATS)))
+    if form not in FORMATS[family]:
+        raise SettingError("unknown representation", format=text, known=" ".join(FORMATS[family]))
+    return family, form
+
+
+def family_of(text: str) -> str:
+    """The part before the colon."""
+    return text.partition(":")[0]
+
+
+def kind_of(text: str) -> str:
+    """The parser's kind for a format."""
+    return KINDS[":".join(parse_format(text))]
 
 
 def all_formats() -> list[str]:
-    return sorted([*ALIASES, *[f"{f}:{x}" for f, xs in FORMATS.items() for x in xs]])
+    return sorted({*ALIASES, *(f"{f}:{x}" for f, xs in FORMATS.items() for x in xs)})
 
 
-def table_ref(text: str) -> tuple[str | None, str, str]:
-    """project:dataset.table or dataset.table."""
+def table_ref(text: str, project: str | None = None) -> tuple[str | None, str, str]:
+    """project:dataset.table or dataset.table, which belongs to the given project."""
     m = re.fullmatch(r"(?:([^\s:.]+):)?([^\s:.]+)\.([^\s:.]+)", text)
     if not m:
         raise SchemaError(f"not a table reference: {text!r}")
-    return m[1], m[2], m[3]
+    return m[1] or project, m[2], m[3]
 
 
-def dataset_ref(text: str) -> tuple[str | None, str]:
+def dataset_ref(text: str, project: str | None = None) -> tuple[str | None, str]:
     m = re.fullmatch(r"(?:([^\s:.]+):)?([^\s:.]+)", text)
     if not m:
         raise SchemaError(f"not a dataset reference: {text!r}")
-    return m[1], m[2]
+    return m[1] or project, m[2]

@@ -42,6 +42,6 @@ def test_the_rest_does_not_need_the_optional_folder():
 
 
 def test_merge_of_two_profiles_gives_the_union(spark):
-    got = {r.path: r.type_repr for r in queries.QUERIES["infer_merge_halves"](spark, FOLDER).collect()}
+    got = {r.path: r.type_repr for r in queries.QUERIES["infer_merge"](spark, FOLDER).collect()}
     assert got["mixed"] == "union(array|object)" and got["lines"] == "array"
     assert not any(p.startswith("mixed") and p != "mixed" for p in got)

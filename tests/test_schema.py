@@ -70,7 +70,7 @@ def test_rendered_texts_are_sound(form):
 
 
 def test_formats_and_references():
-    assert parsers.parse_format("spark") == ("spark", "tree")
+    assert parsers.parse_format("spark") == ("spark", "json") and parsers.parse_format("spark-tree") == ("spark", "tree")
     assert parsers.table_ref("p:d.t") == ("p", "d", "t")
     for bad in ("a.b.c", "a:b:c.d", "x y.z"):
         with pytest.raises(parsers.SchemaError):
