@@ -6,18 +6,21 @@ rotations together give BITS bits. For inner products of vectors of unequal
 length a coordinate is added that makes all candidates equally long (a query
 has 0 there), so that the largest product is the smallest angle.
 
-Index. A code is cut into SUBSTRINGS pieces of 8 bits, each with an index from
-value to rows. If two codes differ in at most r bits, then for radii that sum
-to r - SUBSTRINGS + 1 some piece differs by at most its radius: probing all
-values within these radii finds every code within r (pigeonhole). Found codes
-are verified on all bits, then reranked by the exact product in double
-precision. r is learned on the sample, for RECALL of its true neighbours.
-
-Layout. Every vector is indexed, in shards of up to SHARD_ROWS rows of a
-partition that live only while a block of at most QUERY_BLOCK queries is held
-against them. Each shard gives its nearest per query, and those merge by a
-grouped top-k. A query that finds fewer than k rows is asked again with a
-radius of all bits.
+Index. A code is cut into SUBSTRINGS of 8 bits. If two codes differ in at most
+r bits, then for radii that sum to r - SUBSTRINGS + 1 some piece differs by at
+most its radius: probing all values within these radii finds every code within
+r (pigeonhole). The index of a piece therefore holds, for each of its 256
+values, a bitmap of the rows whose piece lies within the radius; a query takes
+one bitmap for each piece and joins them. Found codes are verified on all bits,
+then reranked by the exact product in double precision. r is learned on the
+sample, for RECALL of its true neighbours; of a sample of n from N rows the
+nearest k * n / N stand for the k nearest of all, so r falls as the table grows.
+
+Layout. Every vector is indexed, in shards of up to SHARD_ROWS rows that live
+only while a block of at most QUERY_BLOCK queries is held against them. A task
+keeps the nearest of each query over all its shards and gives them once; those
+of the tasks merge by a grouped top-k. A query that finds fewer than k rows is
+asked again with a radius of all bits.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 BITS, SAMPLE, RECALL = 256, 4096, 0.97
-SHARD_ROWS, QUERY_BLOCK = 65_536, 8192
-FOUND = "query_id bigint, vec_id bigint, score double"
+SHARD_ROWS, QUERY_BLOCK = 32_768, 8192
+FOUND = "query bigint, vec_id bigint, score double, own boolean"
 NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
@@ -65,10 +68,10 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def learn_radius(x: np.ndarray, full: np.ndarray, code: np.ndarray, query_code: np.ndarray, k: int, recall: float = RECALL) -> int:
-    """The radius within which `recall` of the sample's true neighbours lie."""
+def learn_radius(x: np.ndarray, code: np.ndarray, query_code: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """The radius within which `recall` of the k true neighbours in the sample lie."""
     n, seen = len(x), []
-    for i in range(0, n, max(1, n // 256)):
+    for i in range(0, n, max(1, n // 1024)):
         score = x @ x[i]
         score[i] = -np.inf
         top = np.argpartition(-score, min(k, n - 1) - 1)[: min(k, n - 1)] if n > 1 else []
@@ -78,27 +81,38 @@ def learn_radius(x: np.ndarray, full: np.ndarray, code: np.ndarray, query_code:
 
 
 class Shard:
-    """The indexes of one shard: for each byte of the codes, rows in order of its value."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray):
-        self.ids, self.x, self.words = ids, x, np.ascontiguousarray(code).view(np.uint64)
-        self.rows = [np.argsort(code[:, j], kind="stable").astype(np.int32) for j in range(code.shape[1])]
-        self.at = [np.searchsorted(code[r, j], np.arange(257)) for j, r in enumerate(self.rows)]
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code differs from query (bytes) in at most radius bits."""
-        m = len(query)
-        spare = radius - m + 1
-        base, more = divmod(spare, m)
-        mask = np.zeros(len(self.ids), bool)
+    """The index of one shard: for each byte of the codes and each of its values, a bitmap of the rows near it."""
+
+    def __init__(self, code: np.ndarray, radius: int):
+        n, m = code.shape
+        self.n, self.radius = n, radius
+        self.words = [np.ascontiguousarray(w) for w in np.ascontiguousarray(code).view(np.uint64).T]
+        base, more = divmod(radius - m + 1, m)
+        wide = -(-n // 64) * 8
+        self.near = np.zeros((m, 256, wide), np.uint8)
         for j in range(m):
-            near = np.flatnonzero(NEAR[query[j]] <= base + (j < more))
-            at, rows = self.at[j], self.rows[j]
-            full = at[near + 1] > at[near]
-            for a, b in zip(at[near[full]].tolist(), at[near[full] + 1].tolist()):
-                mask[rows[a:b]] = True
-        found = np.flatnonzero(mask)
-        return found[hamming(self.words[found], query.view(np.uint64)) <= radius]
+            rows = NEAR[code[:, j]] <= base + (j < more)  # rows by values
+            self.near[j, :, : -(-n // 8)] = np.packbits(rows.T, axis=1)
+        self.near = self.near.view(np.uint64)
+        self.pieces = np.arange(m)
+
+    def within(self, query: np.ndarray) -> np.ndarray:
+        """All rows whose code differs from query (bytes) in at most `radius` bits."""
+        probed = np.bitwise_or.reduce(self.near[self.pieces, query], axis=0)
+        mine = query.view(np.uint64)
+        if int(np.bitwise_count(probed).sum()) * 4 < self.n:
+            rows = np.flatnonzero(np.unpackbits(probed.view(np.uint8), count=self.n))
+            words = [w[rows] for w in self.words]
+        else:
+            rows, words = None, self.words
+        differ = np.bitwise_count(words[0] ^ mine[0]).astype(np.uint16)
+        for w, q in zip(words[1:], mine[1:]):
+            differ += np.bitwise_count(w ^ q)
+        close = np.flatnonzero(differ <= self.radius)
+        if rows is not None:
+            return rows[close]
+        there = np.unpackbits(probed.view(np.uint8), count=self.n) if len(close) else close
+        return close[there[close] > 0]
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -114,37 +128,48 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-def _search(query_ids, queries, query_codes, rotations, longest: float, radius: int, k: int):
+def _merge(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of largest score, ties to smaller ids."""
+    if len(ids) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+        top = np.flatnonzero(scores >= edge)  # with all ties at the edge
+        top = top[np.lexsort((ids[top], -scores[top]))][:k]
+        ids, scores, own = ids[top], scores[top], own[top]
+    return ids, scores, own
+
+
+def _search(keys, queries, query_codes, rotations, longest: float, radius: int, k: int):
     d = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        best = [none] * len(keys)  # of each query over the shards of this task
 
-        def solve() -> Iterator[pa.RecordBatch]:
-            ids, x = (np.concatenate(z) for z in zip(*held))
+        def solve() -> None:
+            ids, key, x = (np.concatenate(z) for z in zip(*held))
             held.clear()
-            shard = Shard(ids, x, codes(lengthen(x, longest), rotations))
-            out: list[tuple[np.ndarray, ...]] = []
-            for q in range(len(query_ids)):
-                found = shard.within(query_codes[q], radius)
-                found = found[ids[found] != query_ids[q]]
-                score = x[found] @ queries[q]
-                if len(found) > k:
-                    edge = np.partition(score, len(score) - k)[len(score) - k]
-                    top = np.flatnonzero(score >= edge)  # with all ties at the edge
-                    top = top[np.lexsort((ids[found[top]], -score[top]))][:k]
-                    found, score = found[top], score[top]
-                out.append((np.full(len(found), query_ids[q]), ids[found], score))
-            cols = [np.concatenate(z) for z in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], names=["query_id", "vec_id", "score"])
+            for lo in range(0, len(ids), SHARD_ROWS):
+                part = slice(lo, lo + SHARD_ROWS)
+                i, y, z = ids[part], key[part], x[part]
+                shard = Shard(codes(lengthen(z, longest), rotations), radius)
+                for q in range(len(keys)):
+                    found = shard.within(query_codes[q])
+                    if len(found):
+                        new = i[found], z[found] @ queries[q], y[found] == keys[q]
+                        best[q] = _merge(*(np.concatenate(p) for p in zip(best[q], new)), k)
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), d)))
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), d)))
             if sum(len(h[0]) for h in held) >= SHARD_ROWS:
-                yield from solve()
+                solve()
         if held:
-            yield from solve()
+            solve()
+        for lo in range(0, len(keys), 1024):
+            ids, scores, own = (np.concatenate(p) for p in zip(*best[lo : lo + 1024]))
+            which = np.repeat(keys[lo : lo + 1024], [len(b[0]) for b in best[lo : lo + 1024]])
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (which, ids, scores, own)], names=["query", "vec_id", "score", "own"])
 
     return run
 
@@ -155,53 +180,61 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     Candidates are all other rows; score is the inner product in double
     precision, ties go to the smaller id. Rows without an id, null vectors, and
     vectors that are zero, hold null or non-finite components or have another
-    length than most take no part. Rows with the query's own id are the query
-    itself; other repeated ids are listed each time. Other columns are ignored.
+    length than most take no part. Rows that share an id are candidates of each
+    other, and repeated query rows are answered each. Other columns are ignored.
     Fewer candidates than k give that many rows; an empty table gives none.
     """
     spark = df.sparkSession
+    nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     marked = df.select(F.col(id_col), F.col(vec_col), F.coalesce(is_query, F.lit(False)).alias("_q"))
-    good = vectors(marked, id_col, vec_col)
-    asked = vectors(marked.where("_q"), id_col, vec_col)
+    good = vectors(marked, id_col, vec_col).withColumn("key", F.xxhash64("vec_id", "v")).select("vec_id", "key", "v")
+    asked = vectors(marked.where("_q"), id_col, vec_col).withColumn("key", F.xxhash64("vec_id", "v"))
     shape = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     if not shape["n"]:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return nothing
     longest, d = math.sqrt(shape["m"]), shape["d"]
-    asked = asked.where(F.size("v") == d)
-    sample = np.array([r["v"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
+    asked = asked.where(F.size("v") == d).groupBy("key").agg(F.first("vec_id").alias("query_id"), F.first("v").alias("v"), F.count(F.lit(1)).alias("times"))
+    asked = c.spool(asked, "queries")
+    sample = np.array([r["v"] for r in good.orderBy("key").limit(SAMPLE).select("v").collect()])
     full = lengthen(sample, longest)
     rotations = learn_rotations(full)
-    radius = learn_radius(sample, full, codes(full, rotations).view(np.uint64), codes(np.pad(sample, ((0, 0), (0, 1))), rotations).view(np.uint64), k)
+    share = max(1, math.ceil(k * len(sample) / shape["n"]))
+    radius = learn_radius(sample, codes(full, rotations).view(np.uint64), codes(np.pad(sample, ((0, 0), (0, 1))), rotations).view(np.uint64), share)
 
     def ask(queries: DataFrame, radius: int) -> DataFrame | None:
         n = queries.count()
         blocks, parts = math.ceil(n / QUERY_BLOCK), []
         for b in range(blocks):  # each block is a bounded number of rows, about QUERY_BLOCK
-            block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).distinct().toArrow().combine_chunks()
+            block = queries.where(F.pmod("key", F.lit(blocks)) == b).select("key", "v").toArrow().combine_chunks()
             if not block.num_rows:
                 continue
-            ids, x = block.column("vec_id").to_numpy(), _matrix(block.column("v").chunk(0), d)
-            run = _search(ids, x, codes(np.pad(x, ((0, 0), (0, 1))), rotations), rotations, longest, radius, k)
+            keys, x = block.column("key").to_numpy(), _matrix(block.column("v").chunk(0), d)
+            run = _search(keys, x, codes(np.pad(x, ((0, 0), (0, 1))), rotations), rotations, longest, radius, k + 1)
             parts.append(c.spool(good.mapInArrow(run, FOUND), "nearest"))
         if not parts:
             return None
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        order = [F.desc("score"), F.asc("vec_id")]
+        # the query's own row, once, is no candidate
+        mine = F.col("own") & (F.row_number().over(Window.partitionBy("query", "own").orderBy(*order)) == 1)
+        others = found.withColumn("mine", mine).where("not mine")
+        out = others.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+        out = c.spool(out.select("query", "rank", "vec_id", "score"), "nearest-k")
+        c.drop_spool(*parts)
+        return out
 
     found = ask(asked, radius)
     if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    found = c.spool(found, "nearest-k")
+        return nothing
     whole = min(k, shape["n"] - 1)
-    short = asked.join(found.where(F.col("rank") == whole).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    again = ask(short, rotations.shape[1]) if whole else None
+    short = asked.join(found.where(F.col("rank") == whole).select(F.col("query").alias("key")), "key", "left_anti") if whole else asked.limit(0)
+    again = ask(short, rotations.shape[1])
     if again is not None:
-        again = c.spool(again, "nearest-again")
-        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again, allowMissingColumns=True)
-    return found.select("query_id", "rank", "vec_id", "score")
+        found = found.join(short.select(F.col("key").alias("query")), "query", "left_anti").unionByName(again)
+    answers = found.join(asked.select(F.col("key").alias("query"), "query_id", "times"), "query")
+    return answers.select("query_id", "rank", "vec_id", "score", F.explode(F.expr("sequence(1L, times)")).alias("_copy")).drop("_copy")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
