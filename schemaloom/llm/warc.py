@@ -173,11 +173,14 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = 0) -> DataFram
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    first = first_pages(pages, smallest)
+    # written first, its size is known: Spark broadcasts it where that is small, so that payloads need not move
+    first = c.spool(first_pages(pages, smallest), "first-pages")
     pages = pages.withColumn("_key", F.xxhash64(F.coalesce("html", F.lit(""))))
     joined = pages.join(first, pages["page_id"].eqNullSafe(first["id"]) & (pages["_key"] == first["key"]), "left")
     joined = joined.select("page_id", "url", "html", "first", F.col("first").isNotNull().alias("again"))
-    return c.spool(joined.mapInArrow(_write(folder), INDEX), "warc-index")
+    index = c.spool(joined.mapInArrow(_write(folder), INDEX), "warc-index")
+    c.drop_spool(first)
+    return index
 
 
 def read_archives(spark, index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
