@@ -3,7 +3,8 @@
 Shares: sources in code-point order (null last) have the weights 3, 1, 2,
 repeating, and share `budget` (150 %) of all words. A source's target stops at
 `most` (2) times its size and the excess goes to the others by weight until
-none is above: the level is found on the sorted caps, with one row a source.
+none is above: the level is found on the sorted caps, one row a source, by
+running sums over ranges, so sources may be as many as documents.
 
 Schedule: over training time t in [0, 1] a source's share changes linearly,
 w(t) = target * (1 + slope * (2t - 1)), with slopes 0.5, 0, -0.5 by the same
@@ -46,26 +47,35 @@ def _pick(values: tuple, turn: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (turn % len(values) + 1).cast("int"))
 
 
-def source_targets(sizes: DataFrame, budget: float = 1.5, most: int = 2) -> DataFrame:
-    """(source, source_size) -> with weight, slope, target. One row a source.
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with exclusive running sums over a total order of its rows.
 
-    Windows here run over the table of sources, whose rows are distinct source
-    names with sums, not documents.
+    Rows are range-partitioned; the sums of whole ranges, one row each, are
+    added up apart, and inside a range a window does the rest.
     """
-    everyone = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("turn", F.row_number().over(everyone.orderBy(F.col("source").asc_nulls_last())) - 1)
+    placed = c.spool(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy("_range").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+    starts = whole.select("_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(starts, "_range")
+    return joined.withColumns({n: F.coalesce(F.sum(x).over(inside), F.lit(0)) + F.col(f"_{n}") for n, x in sums.items()}).select(*df.columns, *sums)
+
+
+def source_targets(sizes: DataFrame, budget: float = 1.5, most: int = 2) -> DataFrame:
+    """(source, source_size) -> with weight, slope, target. One row a source, of which there may be many."""
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], turn=F.lit(1))
     ranked = ranked.withColumn("weight", _pick(WEIGHTS, F.col("turn"))).withColumn("slope", _pick(SLOPES, F.col("turn")))
     ranked = ranked.withColumn("cap", (F.lit(most) * F.col("source_size")).cast("bigint")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    below = everyone.orderBy("ratio", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    fill = ranked.withColumn("full_caps", F.coalesce(F.sum("cap").over(below), F.lit(0))).withColumn("full_weight", F.coalesce(F.sum("weight").over(below), F.lit(0)))
-    total = F.sum("source_size").over(everyone) * F.lit(float(budget))
-    # with every smaller ratio capped, the level that the rest would reach
-    fill = fill.withColumn("level", (total - F.col("full_caps")) / (F.sum("weight").over(everyone) - F.col("full_weight")))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everyone)
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "turn", "level"))).over(everyone)["level"]
-    fill = fill.withColumn("chosen", F.coalesce(first, level))
-    target = F.when(F.col("chosen").isNull() | (F.col("ratio") < F.col("chosen")), F.col("cap").cast("double")).otherwise(F.col("chosen") * F.col("weight"))
-    return fill.withColumn("target", F.least(target, F.col("cap").cast("double"))).select("source", "source_size", "weight", "slope", "target")
+    fill = c.spool(running(ranked, [F.col("ratio").asc(), F.col("turn").asc()], full_caps=F.col("cap"), full_weight=F.col("weight")), "caps")
+    sums = fill.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total = F.lit(sums["size"] or 0) * F.lit(float(budget))
+    # with every smaller ratio capped, the level that the rest would reach; the first that does not rise above its own cap holds
+    level = (total - F.col("full_caps")) / (F.lit(sums["weight"] or 0) - F.col("full_weight"))
+    chosen = fill.select("ratio", "turn", level.alias("level")).where("level <= ratio").agg(F.min(F.struct("ratio", "turn", "level"))).first()[0]
+    capped = F.col("cap").cast("double")
+    target = capped if chosen is None else F.when(F.col("ratio") < chosen["level"], capped).otherwise(F.lit(chosen["level"]) * F.col("weight"))
+    return fill.withColumn("target", F.least(target, capped)).select("source", "source_size", "weight", "slope", "target")
 
 
 def _time(offset: Column, target: Column, slope: Column) -> Column:
