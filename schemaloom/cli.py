@@ -82,6 +82,15 @@ def load(spark: SparkSession, path: str, kind: str | None = None, table: str | N
     return fields_of_profile([(r.path, r.type_repr) for r in infer.infer(found, depth, infer_datetimes).collect()])
 
 
+def is_data(path: str, kind: str | None) -> bool:
+    """Whether load would infer from documents."""
+    if kind not in (None, "auto"):
+        return (kind if kind in parsers.PARSERS or kind in ("data", "live") else parsers.kind_of(kind)).startswith("data")
+    there = Path(path).is_file()
+    guess = parsers.guess_kind(path, Path(path).read_bytes()[: parsers.JSON_PEEK].decode("utf-8", "replace") if there else "")
+    return guess == "data" or guess == "live" and there
+
+
 def require(fields: list[Field], wanted: set[str], prefix: str = "") -> None:
     """Exactly the wanted paths are required; repeated fields stay as they are."""
     for f in fields:
@@ -168,6 +177,8 @@ def _compare(a: argparse.Namespace, spark: SparkSession) -> str:
     if a.migration:
         return render.migration_markdown(compare.compare(spark, "mig_analyze", left=left, right=right).first().asDict(), a.left, a.right)
     rows = sorted(tuple(r) for r in compare.diff(left, right).collect())
+    if any(is_data(x, kind) for x, kind in zip((a.left, a.right), kinds)):  # what documents lack says nothing of a schema
+        rows = [r for r in rows if r[1] != "presence"]
     rows = [r for r in rows if (r[1] == "common") <= (a.show_common or a.only_common) and (not a.only_common or r[1] == "common")]
     as_json = json.dumps([dict(zip(("path", "section", "left", "right"), r)) for r in rows], indent=2)
     if a.json_out:

@@ -113,12 +113,12 @@ MOST_LEVELS = 512
 
 
 def release() -> None:
-    """Let go of the counts that profiles keep in memory; profiles not yet read are then counted again."""
+    """Let go of the small tables that plans keep in memory; what is not yet read is then worked out again."""
     while _held:
         _held.pop().unpersist()
 
 
-def _kept(found: DataFrame) -> DataFrame:
+def kept(found: DataFrame) -> DataFrame:
     """A small table that several joins read, kept until release()."""
     _held.append(found.cache())
     return found
@@ -128,7 +128,7 @@ def full_counts(records: DataFrame, depth: int | None = None, datetimes: bool =
     """Counts of all nodes: while some level holds more below it, the records are unfolded twice as deep."""
     levels = (depth_of(records) + 2) if depth is None else depth
     while True:
-        found = _kept(counts(paths(records, levels, datetimes)))
+        found = kept(counts(paths(records, levels, datetimes)))
         if found.where(F.col("atom").endswith("+")).isEmpty():
             return found
         if levels >= MOST_LEVELS:
@@ -144,7 +144,7 @@ def merge(found: DataFrame) -> DataFrame:
     a path of several kinds nothing is listed.
     """
     container = F.col("atom").isin("object", "empty_object")
-    per = _kept(found.groupBy("path").agg(F.min("parent").alias("parent"), F.sum("n").alias("n"), F.sum(F.when(container, F.col("n"))).alias("objects"), F.collect_set("atom").alias("atoms")))  # one row per path
+    per = kept(found.groupBy("path").agg(F.min("parent").alias("parent"), F.sum("n").alias("n"), F.sum(F.when(container, F.col("n"))).alias("objects"), F.collect_set("atom").alias("atoms")))  # one row per path
     owner = per.where("objects is not null").select(F.col("path").alias("parent"), F.col("objects").alias("have"))
     full = per.join(owner, "parent", "left").withColumn("atoms", F.when((F.col("path") != "") & (F.col("n") < F.col("have")), F.array_union("atoms", F.array(F.lit("missing")))).otherwise(F.col("atoms")))
     only = lambda *kinds: F.size(F.array_except("atoms", F.array(*map(F.lit, kinds)))) == 0

@@ -41,6 +41,8 @@ def literal(value) -> str:
         return "true" if value else "false"
     if isinstance(value, int):
         return str(value)
+    if isinstance(value, float):
+        return f"cast({value!r} as double)"
     return "'" + str(value).replace("'", "''") + "'"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import text_queries
 from schemaloom.operators import analytics, compare, infer, rules
-from schemaloom.plans import dialect, fixtures
+from schemaloom.plans import dialect, findings, fixtures
 from schemaloom.sources import fields, records
 
 _FK = ["table_name", "col", "ref_table"]
@@ -47,7 +47,9 @@ def _key(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(n): _rule(n) for n in rules.RULES}
-ORACLE_SQL: dict[str, str] = {_key(n): dialect.for_duckdb(rules.rule_text(n), **fixture_values()) for n in rules.RULES}
+#: Stated findings, not the rule again; that both engines read a rule's text alike is a test of its own.
+ORACLE_SQL: dict[str, str] = {_key(n): "select * from " + dialect.values(["table_name", "path", "pattern", "severity"], rows) + " as stated" for n, rows in findings.FINDINGS.items()}
+SAME_TEXT: dict[str, str] = {_key(n): dialect.for_duckdb(rules.rule_text(n), **fixture_values()) for n in rules.RULES}
 
 # ---------------------------------------------------------------- analytics over the fixture catalog
 
@@ -59,10 +61,12 @@ ORACLE_SQL |= {n: dialect.for_duckdb(t, **fixture_values()) for n, t in analytic
 _LEFT = [
     ("id", "scalar", "int", True), ("name", "scalar", "str", False), ("email", "scalar", "str", True), ("age", "scalar", "int", True), ("score", "scalar", "float", True), ("active", "scalar", "bool", True), ("born", "scalar", "date", True), ("note", "scalar", "any", True),
     ("status", "scalar", "int|str", True), ("contact", "object", "object", True), ("contact.email", "scalar", "str", True), ("contact.phone", "scalar", "missing|str", False), ("tags", "array", "array", False), ("items", "array", "array", True), ("items[0].sku", "scalar", "str", True), ("items[0].qty", "scalar", "int", True), ("void", "scalar", "empty_string", True), ("misc", "scalar", "any|int", True), ("legacy", "scalar", "str", True), ("created_at", "scalar", "timestamp", True),
+    ("bag", "array", "array", True), ("pile", "array", "array", False), ("pile[0].k", "scalar", "str", True), ("code", "scalar", "int|str", False), ("gone", "scalar", "missing", True), ("both", "scalar", "int", True), ("mess", "scalar", "any|empty_string|int|str", True),
 ]
 _RIGHT = [
     ("id", "scalar", "int", True), ("profile", "object", "object", True), ("profile.name", "scalar", "str", True), ("email", "scalar", "str", False), ("age", "scalar", "str", True), ("score", "scalar", "int", True), ("active", "scalar", "str", True), ("born", "scalar", "timestamp", True), ("note", "scalar", "int", True),
     ("status", "scalar", "int|str", True), ("contact", "object", "object", True), ("contact.phone", "scalar", "str", True), ("tags", "array", "array", True), ("items", "array", "array", True), ("items[0].sku", "scalar", "str", True), ("void", "scalar", "str", True), ("misc", "scalar", "int", True), ("created_at", "scalar", "timestamp", True), ("updated_at", "scalar", "timestamp", False), ("is_premium", "scalar", "bool", False), ("audit_log.entry.line", "scalar", "str", False),
+    ("bag", "array", "array", True), ("bag[0].k", "scalar", "str", True), ("pile", "array", "array", True), ("code", "scalar", "int|str", True), ("gone", "scalar", "str", True), ("both", "scalar", "str", False), ("needed", "scalar", "int", True), ("mess", "scalar", "int|str", True),
 ]
 _WANTED = [("name",), ("contact",), ("items.sku",), ("nowhere",)]
 
@@ -76,6 +80,9 @@ _PROFILES = {"left": dialect.values(compare.PROFILE, _LEFT), "right": dialect.va
 QUERIES |= {n: (lambda spark, sf_dir, n=n: compare.compare(spark, n, **profile_frames(spark))) for n in compare.TEXTS}
 ORACLE_SQL |= {n: dialect.for_duckdb(t, **_PROFILES) for n, t in compare.TEXTS.items()}
 
+SAME_TEXT |= {n: ORACLE_SQL[n] for n in findings.RESULTS}
+ORACLE_SQL |= {n: "select * from " + dialect.values(columns, rows) + " as stated" for n, (columns, rows) in findings.RESULTS.items()}
+
 # ---------------------------------------------------------------- the driver's tables
 
 _PREFIXED = "select replace_all(column_name, '^[a-z]+_', '') as name, data_type, column_name from information_schema.columns where table_name = "

@@ -58,7 +58,7 @@ def _json_node(name: str, node: dict, required: bool) -> Field:
         return Field(name, "RECORD", mode, note, [], [_json_node(k, v, k in wanted) for k, v in node["properties"].items()])
     if kind == "array":
         inner = _json_node(name, node.get("items") or {}, False)
-        return Field(name, inner.type, "REPEATED", note, [], inner.fields)
+        return Field(name, inner.type, "REPEATED", note, [], inner.fields, required and not optional)
     formats = {"date-time": "TIMESTAMP", "date": "DATE", "time": "TIME"}
     native = {"integer": "INT64", "number": "FLOAT64", "boolean": "BOOLEAN", "object": "JSON", "string": formats.get(node.get("format"), "STRING")}.get(kind, "ANY")
     return Field(name, native, mode, note)
@@ -72,15 +72,38 @@ def json_schema(text: str) -> list[Field]:
 # ---------------------------------------------------------------- Spark
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
+_MARKS = re.compile(rf"{_QUOTED}|[<>(),]")
+_ROUND = re.compile(rf"{_QUOTED}|[()]")
+
+
 def _split(text: str) -> list[str]:
-    """At commas outside brackets."""
+    """At commas outside brackets and quotes."""
+    if "<" not in text and "(" not in text and "'" not in text and '"' not in text:
+        return [x for x in map(str.strip, text.split(",")) if x]
     out, deep, last = [], 0, 0
-    for i, ch in enumerate(text):
-        deep += (ch in "<(") - (ch in ">)")
-        if ch == "," and not deep:
-            out.append(text[last:i])
-            last = i + 1
-    return [x.strip() for x in [*out, text[last:]] if x.strip()]
+    for m in _MARKS.finditer(text):
+        mark = m[0]
+        if mark == ",":
+            if not deep:
+                out.append(text[last : m.start()])
+                last = m.end()
+        elif mark in "<(":
+            deep += 1
+        elif mark in ">)":
+            deep -= 1
+    out.append(text[last:])
+    return [x for x in map(str.strip, out) if x]
+
+
+def _closed(text: str, at: int) -> int:
+    """Behind the parenthesis that closes the one before `at`."""
+    deep = 1
+    for m in _ROUND.finditer(text, at):
+        deep += (m[0] == "(") - (m[0] == ")")
+        if not deep:
+            return m.end()
+    return len(text) + 1
 
 
 def spark_type(name: str, text: str, mode: str = "NULLABLE") -> Field:
@@ -134,8 +157,21 @@ _CREATE = re.compile(r"create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?table\
 _STOP = re.compile(r"\s+(?:not\s+null|null|default|collate|references|generated|identity|options|primary|unique|check|constraint|on\s+(?:update|delete))\b.*$", re.I | re.S)
 
 
+_CONSTRAINT = re.compile(r"(primary|foreign|unique|constraint|check)\b", re.I)
+_REMARK = re.compile(r"--.*?$|/\*.*?\*/", re.M | re.S)
+_COLUMN = re.compile(r"\s*(`[^`]+`|\"[^\"]+\"|[\w$]+)\s+(.*)$", re.S)
+_ANGLES = re.compile(r"[<>]")
+_NOTE = re.compile(r"description\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_NEEDED = re.compile(r"not\s+null|primary\s+key", re.I)
+_PRECISION = re.compile(r"\s*\([^)]*\)")
+_AROUND = re.compile(r"\s*([<>])\s*")
+_MANY = re.compile(r"(?:\[\])*")
+
+
 def sql_type(name: str, text: str, mode: str = "NULLABLE", names: dict[str, str] = SQL_TYPES) -> Field:
-    text = re.sub(r"\s*([<>])\s*", r"\1", text.strip())
+    text = text.strip()
+    if "<" in text:
+        text = _AROUND.sub(r"\1", text)
     low = text.lower()
     if low.startswith("array<") and text.endswith(">"):
         inner = sql_type(name, text[6:-1], "NULLABLE", names)
@@ -147,45 +183,45 @@ def sql_type(name: str, text: str, mode: str = "NULLABLE", names: dict[str, str]
     if text.endswith("[]"):
         inner = sql_type(name, text[:-2], "NULLABLE", names)
         return Field(name, inner.type, "REPEATED", None, [], inner.fields)
-    return Field(name, _NATIVE[names.get(re.sub(r"\s*\([^)]*\)", "", low).strip(), "any")], mode)
+    return Field(name, _NATIVE[names.get(_PRECISION.sub("", low) if "(" in low else low, "any")], mode)
 
 
 def _sql_column(text: str, names: dict[str, str] = SQL_TYPES) -> Field:
-    m = re.match(r"\s*(`[^`]+`|\"[^\"]+\"|[\w$]+)\s+(.*)$", text, re.S)
+    m = _COLUMN.match(text)
     if not m:
         raise SchemaError(f"no column in {text!r}")
     name, rest = unquoted(m[1]), m[2].strip()
-    cut = 0
-    if re.match(r"(array|struct|map)\s*<", rest, re.I):
-        deep = 0
-        for cut, ch in enumerate(rest):
-            deep += (ch == "<") - (ch == ">")
-            if ch == ">" and not deep:
+    if "<" in rest and rest[:6].lower().startswith(("array", "struct", "map")):
+        deep = cut = 0
+        for mark in _ANGLES.finditer(rest):
+            deep += 1 if mark[0] == "<" else -1
+            if not deep:
+                cut = mark.end()
                 break
-        many = re.match(r"(\[\])*", rest[cut + 1 :])[0]
-        kind, tail = rest[: cut + 1] + many, " " + rest[cut + 1 + len(many) :]
-    else:
+        cut = _MANY.match(rest, cut).end()
+        kind, tail = rest[:cut], rest[cut:]
+    elif " " in rest or "\n" in rest or "\t" in rest:
         kind = _STOP.sub("", " " + rest).strip()
-        tail = (" " + rest)[len(kind) + 1 :]
+        tail = rest[len(kind) :]
+    else:
+        kind, tail = rest, ""
     f = sql_type(name, kind, "NULLABLE", names)
-    note = re.search(r"description\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", tail)
-    f.description = (note[1] or note[2]) if note else None
-    f.required = bool(re.search(r"not\s+null|primary\s+key", tail, re.I))
-    if f.required and f.mode == "NULLABLE":
-        f.mode = "REQUIRED"
+    if tail:
+        note = _NOTE.search(tail)
+        f.description = (note[1] or note[2]) if note else None
+        f.required = _NEEDED.search(tail) is not None
+        if f.required and f.mode == "NULLABLE":
+            f.mode = "REQUIRED"
     return f
 
 
 def sql_tables(text: str, names: dict[str, str] = SQL_TYPES) -> dict[str, list[Field]]:
     """Every CREATE TABLE of a text by name; a loose column list has the name ''."""
-    text = re.sub(r"--.*?$|/\*.*?\*/", "", text, flags=re.M | re.S)
+    if "--" in text or "/*" in text:
+        text = _REMARK.sub("", text)
     out = {}
     for m in _CREATE.finditer(text):
-        deep, i = 1, m.end()
-        while i < len(text) and deep:
-            deep += (text[i] == "(") - (text[i] == ")")
-            i += 1
-        columns = [x for x in _split(text[m.end() : i - 1]) if not re.match(r"(primary|foreign|unique|constraint|check)\b", x, re.I)]
+        columns = [x for x in _split(text[m.end() : _closed(text, m.end()) - 1]) if not _CONSTRAINT.match(x)]
         out[m[1].replace("`", "").replace('"', "")] = [_sql_column(x, names) for x in columns]
     if not out and text.strip():
         out[""] = [_sql_column(x.rstrip(","), names) for x in _split(text.strip().rstrip(";"))]

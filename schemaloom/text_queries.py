@@ -6,8 +6,12 @@ by running the code, so every row can fail.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
+import io
 import json
+import logging
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaloom.functions import errors, support
 from schemaloom.operators import compare, infer, rules, texts
 from schemaloom.plans import dialect, fixtures, render, report
 from schemaloom.sources import dialects, fields, parsers, records, stores
@@ -339,8 +344,7 @@ def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _stated("diff_unified", "path section a b", [
-    ("user.id", "type_mismatch", "int", "str"), ("extra", "only_right", None, "date|missing"), ("user", "common", "object", "object"), ("user.name", "common", "missing|str", "missing|str"),
-    ("rows", "common", "array", "array"), ("rows[0].sku", "common", "str", "str"), ("rows[0].n", "common", "bool|missing", "bool|missing"),
+    ("user.id", "type_mismatch", "int", "str"), ("extra", "only_right", None, "date|missing"), ("user.name", "common", "missing|str", "missing|str"), ("rows[0].sku", "common", "str", "str"), ("rows[0].n", "common", "bool|missing", "bool|missing"),
 ], _unified)
 
 
@@ -384,3 +388,165 @@ _stated("dim_advanced", "table_name pattern", [
     ("customer_group", "bridge_by_fk"), ("dim_item", "snowflake_depth_excessive"), ("dim_item", "conformed_dim_type_inconsistency"), ("fact_back", "fact_too_denormalized"),
     ("fact_sale", "late_arriving_fact_risk"), ("fact_sale", "orphan_fk_risk"), ("dim_date", "incomplete_date_dimension"),
 ], _dimensional(False))
+
+# ---------------------------------------------------------------- driver-side support
+
+
+def _attempts(fails: int) -> tuple[str, str]:
+    """What a call that fails so many times gives in three attempts, and the waits between them."""
+    waits, calls = [], []
+
+    @support.retrying(3, 1.0, 2.0, OSError, sleep=waits.append)
+    def call() -> str:
+        calls.append(1)
+        if len(calls) <= fails:
+            raise OSError("not yet")
+        return f"done after {len(calls)}"
+
+    try:
+        return call(), str(waits)
+    except OSError as e:
+        return f"{e} after {len(calls)}", str(waits)
+
+
+def _remembered(case: str) -> int:
+    """How often the function behind a memory ran."""
+    runs, memory = [], support.Memory(seconds=0.0 if case == "too old" else None)
+    call = memory.remember(lambda *a, **k: runs.append(a) or len(runs))
+    call(1, k=2)
+    if case == "cleared":
+        memory.clear()
+    if case == "too old":
+        memory.held = {k: (made - 1, v) for k, (made, v) in memory.held.items()}
+    call(1, k=3) if case == "another argument" else call(1, k=2)
+    return len(runs)
+
+
+def _logged(level: str) -> str:
+    """What a log of a level takes in."""
+    lines = []
+    logger = logging.Logger("apart", level)
+    handler = logging.Handler()
+    handler.emit = lambda record: lines.append(record.levelname)
+    logger.addHandler(handler)
+    for n in ("debug", "info", "warning", "error"):
+        getattr(logger, n)("x")
+    return ",".join(lines)
+
+
+def _error(case: str) -> tuple[str, str]:
+    inner = KeyError("k")
+    made = {"plain": errors.EngineError("bad"), "details": errors.SchemaError("bad", path="a.sql", line=3, column=None), "own": errors.wrapped(errors.StoreError("gone", path="p")), "other": errors.wrapped(ValueError("odd")), "named": errors.wrapped(inner, "unreadable", errors.SettingError, option="x")}[case]
+    return str(made), type(made).__name__
+
+
+_calls("inf_errors", "given text kind", [("plain", ("bad", "EngineError")), ("details", ("bad (path=a.sql, line=3)", "SchemaError"))], _error)
+_calls("inf_wrap", "given text kind", [("own", ("gone (path=p)", "StoreError")), ("other", ("odd", "EngineError")), ("named", ("unreadable (option=x)", "SettingError"))], _error)
+_calls("inf_retry", "fails result waits", [(0, ("done after 1", "[]")), (2, ("done after 3", "[1.0, 2.0]")), (5, ("not yet after 3", "[1.0, 2.0]"))], _attempts)
+_calls("inf_bq_retry", "error transient", [("429 too many requests", True), ("500 oops", True), ("backend: 503", True), ("request timed out", True), ("404 not found", False), ("5000 rows", False)], lambda text: support.is_transient(RuntimeError(text)))
+_calls("inf_cache", "given runs", [("same", 1), ("another argument", 2), ("cleared", 2), ("too old", 2)], _remembered)
+_calls("inf_cache_deco", "name kept", [("f", "f")], lambda name: support.Memory().remember(_named(name)).__name__)
+_calls("inf_timing", "value same", [(5, 5), (0, 0)], lambda v: support.timed(_named("f"))(v))
+_calls("inf_exists", "path found", [("/no/such/file", "error"), ("/etc/hosts", "found")], lambda path: support.needs_file(lambda p: "found")(path))
+_calls("inf_logging", "level lines", [("DEBUG", "DEBUG,INFO,WARNING,ERROR"), ("WARNING", "WARNING,ERROR"), ("ERROR", "ERROR")], _logged)
+_calls("inf_config", "color codes", [(True, 5), (False, 1)], lambda color: len(set(support.Settings(color=color).colors())))
+
+
+def _named(name: str) -> Callable:
+    def call(value=None):
+        return value
+
+    call.__name__ = name
+    return call
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file copied by Spark's file systems: once, again without force after it changed, and with it."""
+    source, local = f"{shared_folder(spark)}/a.json", tempfile.mkdtemp()
+    rows = []
+    for step, content, force in (("first", b"1", False), ("kept", b"2", False), ("forced", b"3", True)):
+        _put(spark, source, content)
+        with open(stores.fetch(spark, source, f"{local}/x/a.json", force), "rb") as f:
+            rows.append((step, f.read().decode()))
+    try:
+        stores.fetch(spark, source + ".none", f"{local}/none")
+    except errors.StoreError as e:
+        rows.append(("missing", e.message))
+    return _table(spark, "step content", rows)
+
+
+_stated("src_gcs_download", "step content", [("first", "1"), ("kept", "1"), ("forced", "3"), ("missing", "no such object")], _fetched)
+_stated("src_gcs_status", "scheme ready", [("file", True), ("nowhere", False)], lambda spark, sf_dir: _table(spark, "scheme ready", [(s, stores.store_status(spark, f"{s}:///x")[0]) for s in ("file", "nowhere")]))
+_stated("src_resolve", "path local", [("/a/b.json", "/a/b.json"), ("s3a://b/o", "s3a://b/o")], lambda spark, sf_dir: _table(spark, "path local", [(p, stores.resolve(spark, p)) for p in ("/a/b.json", "s3a://b/o")]))
+
+
+def _project(given: str) -> str:
+    held = {n: os.environ.pop(n, None) for n in stores.PROJECT_VARIABLES}
+    try:
+        os.environ.update(dict(x.split("=") for x in given.split()))
+        return stores.default_project()
+    finally:
+        for n, value in held.items():
+            os.environ.pop(n, None)
+            if value is not None:
+                os.environ[n] = value
+
+
+_calls("src_bq_defproj", "environment project", [("GCP_PROJECT=b", "b"), ("GOOGLE_CLOUD_PROJECT=a GCP_PROJECT=b", "a"), ("", "error")], _project)
+_stated("src_bq_client", "outcome", [("the session has no connector to the warehouse",)], lambda spark, sf_dir: _table(spark, "outcome", [(_connector(spark),)]))
+
+
+def _connector(spark: SparkSession) -> str:
+    try:
+        stores.warehouse_reader(spark, "p")
+    except errors.WarehouseError as e:
+        return e.message
+    return "ready"
+
+
+def _written(name: str) -> str:
+    with tempfile.TemporaryDirectory() as top:
+        path = render.write_output("text\n", name, "reports", top)
+        return f"{path.relative_to(top)}: {path.read_text().strip()}"
+
+
+_calls("out_write", "name written", [("a.md", "reports/a.md: text"), ("b/c.txt", "reports/b/c.txt: text")], _written)
+
+
+def _command(*args: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What a command prints about two small inputs."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from schemaloom import cli  # the commands import what these queries are about
+
+        with tempfile.TemporaryDirectory() as top:
+            for name, text in (("a.json", _B3), ("b.sql", "CREATE TABLE t (user STRUCT<id STRING NOT NULL, name STRING> NOT NULL, extra DATE);")):
+                with open(f"{top}/{name}", "w") as f:
+                    f.write(text)
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                code = cli.main([x.replace("@", f"{top}/") for x in args], spark)
+        return _table(spark, "code line", [(code, x.replace(f"{top}/", "")) for x in out.getvalue().splitlines()])
+
+    return query
+
+
+_COMPARED = ["-- Only in left: a.json -- (1)", "  rows", "-- Only in right: b.sql -- (1)", "  extra", "-- Type mismatches -- (1)", "  user.id: int -> str"]
+_stated("cli_compare", "code line", [(0, x) for x in _COMPARED], _command("compare", "@a.json", "@b.sql", "--no-color"))
+_stated("cli_generate", "code line", [(0, x) for x in ['CREATE TABLE t (', '  "user_id" TEXT NOT NULL,', '  "user_name" TEXT,', '  "extra" DATE', ");"]], _command("generate", "@b.sql", "--format", "sql_ddl", "--name", "t"))
+_stated("cli_ddl", "code line", [(0, x) for x in ["CREATE OR REPLACE TABLE `t` (", "  `user` STRUCT<", "    `id` STRING NOT NULL,", "    `name` STRING", "  > NOT NULL,", "  `extra` DATE", ");"]], _command("ddl", "@b.sql", "--name", "t", "--no-color"))
+QUERIES["cli_analyze"] = lambda spark, sf_dir: _command("analyze", "@b.sql", "--format", "markdown")(spark, sf_dir).where("line like '## %'")
+ORACLE_SQL["cli_analyze"] = "select * from (values (0, '## Complexity'), (0, '## Types'), (0, '## Patterns'), (0, '## Categories'), (0, '## Policy tags'), (0, '## Findings')) as t(code, line)"
+QUERIES["cli_config"] = lambda spark, sf_dir: _command("config", "--store", "nowhere:///x")(spark, sf_dir).where("line like 'store %' or line like 'renders %'").selectExpr("code", "split(line, ':')[0] as line")
+ORACLE_SQL["cli_config"] = "select * from (values (0, 'store missing'), (0, 'renders json_schema sql_ddl bigquery_ddl spark bigquery_json openapi')) as t(code, line)"
+_stated("src_loader", "path native_type mode", [("user", "RECORD", "REQUIRED"), ("user.id", "INT64", "REQUIRED"), ("user.name", "STRING", "NULLABLE"), ("rows", "RECORD", "REPEATED"), ("rows.sku", "STRING", "REQUIRED"), ("rows.n", "BOOLEAN", "NULLABLE")], lambda spark, sf_dir: _loaded(spark, "a.json", _B3))
+_stated("src_unified", "path native_type mode", [("i", "INT64", "REQUIRED"), ("s", "STRING", "NULLABLE")], lambda spark, sf_dir: _loaded(spark, "a.jsonl", '{"i": 1, "s": "x"}\n{"i": 2}\n'))
+
+
+def _loaded(spark: SparkSession, name: str, text: str) -> DataFrame:
+    from schemaloom import cli
+
+    with tempfile.TemporaryDirectory() as top:
+        with open(f"{top}/{name}", "w") as f:
+            f.write(text)
+        return _table(spark, "path native_type mode", [(r[1], r[6], r[7]) for r in fields.rows("t", cli.load(spark, f"{top}/{name}"))])

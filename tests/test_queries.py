@@ -33,6 +33,12 @@ def test_equal(spark, con, name):
     assert rows, "the fixture has no case for this query"
 
 
+def test_both_engines_read_the_rules_alike(con):
+    for name, text in queries.SAME_TEXT.items():
+        stated, found = con.execute(queries.ORACLE_SQL[name]).fetchall(), con.execute(text).fetchall()
+        assert sorted(stated) == sorted(found), name
+
+
 def test_the_rest_does_not_need_the_optional_folder():
     for root, _, files in os.walk(os.path.join(os.path.dirname(__file__), "..", "schemaloom")):
         if os.path.basename(root) != "llm":
