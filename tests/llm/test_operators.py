@@ -517,3 +517,89 @@ def test_scripts_do_not_share_letters():
     assert has.all() and len(np.unique(gram[row == 0])) == (row == 0).sum() and (row == 0).sum() == (row == 3).sum()
     alone = langid.gram_counts(np.frombuffer(raw[1], np.uint8), np.array([0, len(raw[1])]))
     assert gram[row == 7].tolist() == alone[1].tolist() and count[row == 7].tolist() == alone[2].tolist()
+
+
+def test_nearest_of_repeated_ids_and_rows(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((80, 16))
+    rows = [(i, v.tolist(), "clash", 7) for i, v in enumerate(x)]
+    rows += [(20, x[70].tolist(), "clash", 7), (40, x[40].tolist(), "clash", 7)]  # another vector of id 20; row 40 twice
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string, rank int")
+    got = defaultdict(list)
+    for g in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect():
+        got[g.query_id].append((g.rank, g.vec_id, round(g.score, 9)))
+    vectors = np.array([r[1] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    for q in (0, 20, 40, 60):
+        want = []
+        for i in np.flatnonzero(ids == q):
+            score = vectors @ vectors[i]
+            score[i] = -np.inf  # its own row alone
+            order = np.lexsort((ids, -score))[:5]
+            want += [(n + 1, int(ids[j]), round(float(score[j]), 9)) for n, j in enumerate(order)]
+        assert sorted(got[q]) == sorted(want)
+
+
+def test_language_stage_rejects_what_is_like_no_learned_language(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(14)
+    syllables = {"aa": "ka to mi ru se no".split(), "bb": "sch ung ein der ich ver".split()}
+    make = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(lang, r.choice([3, 10, 80])), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    odd = [(1000, " ".join("".join(r.choice("qwxzjypf") for _ in range(6)) for _ in range(60)), None), (1001, "Это не тот язык", None), (1002, "12 34", "aa"), (1003, None, "aa"), (None, make("aa", 40), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows + odd], "doc_id bigint, text string, lang string, source string, n_chars long")
+    kept = {d.doc_id for d in p.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows} | {None}
+
+
+def test_decoding_equals_trying_all_labellings():
+    import itertools
+
+    r = np.random.default_rng(9)
+    for n in (2, 4, 7, 9):
+        for _ in range(20):
+            parent = [-1, *(int(r.integers(0, i)) for i in range(1, n))]
+            margin = r.normal(0, 2, n)
+            margin[r.random(n) < 0.2] = 0
+            best = -np.inf
+            for rest in itertools.product((False, True), repeat=n - 1):
+                keep = (True, *rest)
+                if all(keep[parent[i]] or not keep[i] for i in range(1, n)):
+                    best = max(best, sum(-np.logaddexp(0, -m if k else m) for m, k in zip(margin, keep)))
+            got = html_text.decode(parent, margin)
+            assert got[0] and all(got[parent[i]] or not got[i] for i in range(1, n))
+            assert sum(-np.logaddexp(0, -m if k else m) for m, k in zip(margin, got)) == pytest.approx(best)
+
+
+def test_targets_of_many_sources_equal_plain_water_filling(spark):
+    r = random.Random(10)
+    sizes = {f"s{i:04d}": r.choice([0, 1, 5, 40, 1000, 90_000]) for i in range(300)} | {None: 77}
+    order = [*sorted(k for k in sizes if k is not None), None]
+    weight = {k: mixing.WEIGHTS[i % 3] for i, k in enumerate(order)}
+    left, free, target = 1.5 * sum(sizes.values()), set(order), {}
+    while True:  # sources above their cap are fixed there, the rest is shared anew
+        level = left / sum(weight[k] for k in free)
+        over = [k for k in free if level * weight[k] > 2 * sizes[k]]
+        if not over:
+            break
+        for k in over:
+            target[k] = 2.0 * sizes[k]
+            left -= target[k]
+            free.remove(k)
+    target |= {k: level * weight[k] for k in free}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(7)
+    got = {g.source: g for g in mixing.source_targets(rows).collect()}
+    assert len(got) == len(sizes) and {k: g.weight for k, g in got.items()} == weight
+    for k, g in got.items():
+        assert g.target == pytest.approx(target[k]), k
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i % 50, i, i * 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b int, v bigint").repartition(5)
+    total, want = 0, {}
+    for a, b, v in sorted(rows):
+        want[b] = total
+        total += v
+    assert {g.b: g.s for g in mixing.running(df, [F.col("a").asc(), F.col("b").asc()], s=F.col("v")).collect()} == want
