@@ -179,7 +179,9 @@ def _compare(a: argparse.Namespace, spark: SparkSession) -> str:
     rows = sorted(tuple(r) for r in compare.diff(left, right).collect())
     if any(is_data(x, kind) for x, kind in zip((a.left, a.right), kinds)):  # what documents lack says nothing of a schema
         rows = [r for r in rows if r[1] != "presence"]
-    rows = [r for r in rows if (r[1] == "common") <= (a.show_common or a.only_common) and (not a.only_common or r[1] == "common")]
+    rows = [r for r in rows if r[1] != "common" and not a.only_common]
+    if a.show_common or a.only_common:  # paths of both, whether their types agree or not
+        rows += sorted((r.path, "common", None, None) for r in compare.compare(spark, "diff_common", left=left, right=right).collect())
     as_json = json.dumps([dict(zip(("path", "section", "left", "right"), r)) for r in rows], indent=2)
     if a.json_out:
         Path(a.json_out).write_text(as_json, encoding="utf-8")
