@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once in a Python worker.
 BLOCK_BYTES = 1 << 20
+#: The same where arrays are sorted or many times as wide as the text, so that they stay in a cache.
+SMALL_BLOCK = 1 << 18
 
 #: The words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

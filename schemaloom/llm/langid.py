@@ -105,7 +105,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(lang, text) to partial counts of n-grams by language."""
     for batch in batches:
         langs = batch.column(0)
-        for lo, _, data, at in c.blocks(batch.column(1)):
+        for lo, _, data, at in c.blocks(batch.column(1), c.SMALL_BLOCK):
             row, gram, count, _ = gram_counts(data, at)
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(row + lo)), pa.array(gram.view(np.int64)), pa.array(count)], names=["lang", "gram", "n"])
 
@@ -170,7 +170,7 @@ def _predict(text_at: int, model):
         for batch in batches:
             pred: list[str] = []
             score: list[float] = []
-            for lo, hi, data, at in c.blocks(batch.column(text_at)):
+            for lo, hi, data, at in c.blocks(batch.column(text_at), c.SMALL_BLOCK):
                 cost, n, has = distances(model, data, at)
                 if not langs:
                     pred += [UNKNOWN] * (hi - lo)
