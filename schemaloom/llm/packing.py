@@ -6,9 +6,12 @@ only thing the driver reads, whatever the size of the corpus.
 
 1. Grouping. Large lengths are sorted and cut into groups of equal
    cardinality; a group counts as the largest length in it.
-2. Configurations. Over these few sizes, the largest one left is completed by
-   the knapsack that fills the sequence best, and that configuration is used as
-   often as the counts allow.
+2. Configurations. Over these few sizes the fewest sequences are a linear
+   programme over configurations, solved by column generation: the shadow
+   prices of the sizes ask a knapsack for a configuration worth more than a
+   sequence, until there is none. Each is used the whole number of times below
+   its value. What is left, a few sequences for each size, is filled one after
+   the other: the largest size, completed by the knapsack that fits best.
 3. Substitution. The slots of a group receive its actual lengths in order, so
    sequences fall into runs of equal content whose true room is known.
 4. Best fit. Small lengths, longest first, go where they leave least room,
@@ -47,7 +50,9 @@ BUCKET_ROWS = 100_000
 
 
 def _groups(counts: dict[int, int], n: int) -> list[dict]:
-    """Equal-cardinality groups of the large lengths, longest first; a length may be split between two."""
+    """Equal-cardinality groups of the large lengths, longest first; a length may be split between two. As few lengths as that need no rounding."""
+    if len(counts) <= n:
+        return [{"size": x, "items": [[x, counts[x]]], "n": counts[x]} for x in sorted(counts, reverse=True)]
     total, groups, left = sum(counts.values()), [], 0
     size = max(1, -(-total // n))
     for length in sorted(counts, reverse=True):
@@ -87,8 +92,66 @@ def _complete(groups: list[dict], left: list[int], lead: int, room: int) -> list
     return slots
 
 
+def _richest(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size stands in the configuration of most worth (an unbounded knapsack, one more item at a time)."""
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(capacity // min(sizes)):
+        now, pick = best.copy(), np.full(capacity + 1, -1, np.int16)
+        for g, size in enumerate(sizes):
+            if worth[g] > 0:
+                with_it = best[: capacity + 1 - size] + worth[g]
+                better = np.flatnonzero(with_it > now[size:] + 1e-12)
+                now[size + better], pick[size + better] = with_it[better], g
+        picks.append(pick)
+        best = now
+    room, out = capacity, np.zeros(len(sizes))
+    for pick in reversed(picks):
+        if (g := int(pick[room])) >= 0:
+            out[g] += 1
+            room -= sizes[g]
+    return out
+
+
+def _programme(groups: list[dict], capacity: int, rounds: int = 4000) -> list[tuple[list[int], int]]:
+    """Configurations and whole numbers of times, from the linear programme; they take no more than there is."""
+    m = len(groups)
+    if not m:
+        return []
+    sizes, need = [g["size"] for g in groups], np.array([g["n"] for g in groups], float)
+    each = np.array([capacity // s for s in sizes], float)
+    basis, inverse, times = np.diag(each), np.diag(1 / each), need / each
+    for _ in range(rounds):
+        worth = inverse.sum(axis=0)
+        new = _richest(sizes, worth, capacity)
+        if worth @ new <= 1 + 1e-7:
+            break
+        step = inverse @ new
+        able = np.flatnonzero(step > 1e-9)
+        out = int(able[np.argmin(times[able] / step[able])])
+        gain = times[out] / step[out]
+        times -= gain * step
+        times[out] = gain
+        inverse[out] /= step[out]
+        rest = np.arange(m) != out
+        inverse[rest] -= np.outer(step[rest], inverse[out])
+        basis[:, out] = new
+    found, left = [], need.copy()
+    for k in range(m):
+        pattern = basis[:, k]
+        used = pattern > 0
+        n = int(min(np.floor(times[k] + 1e-6), (left[used] // pattern[used]).min()))
+        if n > 0:
+            left -= n * pattern
+            found.append(([g for g in range(m) for _ in range(int(pattern[g]))], n))
+    return found
+
+
 def _configurations(groups: list[dict], capacity: int) -> list[tuple[list[int], int]]:
-    left, out, lead = [g["n"] for g in groups], [], 0
+    out, lead = _programme(groups, capacity), 0
+    left = [g["n"] for g in groups]
+    for slots, times in out:
+        for g in slots:
+            left[g] -= times
     while lead < len(groups):
         if not left[lead]:
             lead += 1

@@ -34,7 +34,7 @@ from tokenizers import Tokenizer, normalizers
 from . import _common as c
 
 #: Distinct pre-tokens that a worker remembers, and values kept for them; beyond either it starts anew.
-MOST_WORDS, MOST_VALUES = 1 << 20, 1 << 24
+MOST_WORDS, MOST_VALUES = 1 << 19, 1 << 23
 #: Code points of a pre-token that is remembered.
 LONG = 64
 NONE = np.int32(-1)
@@ -233,15 +233,19 @@ class Block:
         return [text[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist())]
 
 
+def _tokenizer(path: str) -> Tokenizer:
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
 class WordBpe:
     """Ids of texts, equal to the library's without special tokens."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.library, self.words):
-            t.no_truncation()
-            t.no_padding()
+        self.path, self.words = path, _tokenizer(path)
         self.words.normalizer = normalizers.Sequence([])  # pre-tokens are taken as they are: lower case can leave the normal form
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
@@ -250,9 +254,14 @@ class WordBpe:
         if steps != NORMALIZERS or splits[:1] != [PATTERN] or not self.spec["model"].get("end_of_word_suffix"):
             raise ValueError(f"{path} is no vocabulary of words with end marks")
         self.specials = [x["content"] for x in self.spec["added_tokens"]]
-        self.code = Points(self.library)
+        self.code = Points(self.words)
         self.reset()
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The whole library, for texts that are taken apart; a worker that meets none does without."""
+        return _tokenizer(self.path)
+
     def reset(self) -> None:
         self.table, self.ids = HashTable(MOST_WORDS), Flat(np.int32)
 
@@ -463,9 +472,10 @@ class PrefixCounts(WordBpe):
         last, inside, ended = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for i in range(1, int(length.max()) + 1):
             p = at[:-1][length >= i] + i - 1
+            sizes = np.flatnonzero((found[: min(i, self.longest) + 1, p] >= 0).any(axis=1))[::-1].tolist()  # of tokens that end here
             for table, out in ((self.inner, inside), (self.final, ended)):
                 open_ = p
-                for d in range(min(i, self.longest), 0, -1):
+                for d in sizes:
                     if not len(open_):
                         break
                     t = table[found[d, open_]]
@@ -572,7 +582,7 @@ class PrefixCounts(WordBpe):
         self.counts.add(size, counts)
 
     def _count(self, text: str) -> int:
-        return len(self.library.encode(text, add_special_tokens=False).ids)
+        return len(self.words.encode(text, add_special_tokens=False).ids)
 
     def _totals(self, block: Block) -> tuple[np.ndarray, np.ndarray, dict[int, tuple]]:
         """For each lower-case code point of a block: the tokens up to it, the tokens of pre-tokens that end there or before; the long words."""

@@ -603,3 +603,15 @@ def test_running_sums_over_ranges(spark):
         want[b] = total
         total += v
     assert {g.b: g.s for g in mixing.running(df, [F.col("a").asc(), F.col("b").asc()], s=F.col("v")).collect()} == want
+
+
+def sequences_of(table):
+    return len({first + i for _, lo, hi, first, _ in table.tolist() for i in range(hi - lo)})
+
+
+def test_configurations_follow_the_programme():
+    assert sequences_of(packing.plan({2000: 1200, 1100: 1200, 996: 1200})) == 1200  # 2000 + 1100 + 996, though 2000 + 2000 comes first
+    r, histogram = random.Random(1), defaultdict(int)
+    for _ in range(20_000):
+        histogram[min(4096, max(1, int(r.lognormvariate(7.3, 0.2))))] += 1
+    assert sequences_of(packing.plan(histogram)) < 7900  # some 8,470 if the largest sizes are completed one after the other
