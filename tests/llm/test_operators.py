@@ -357,6 +357,60 @@ def test_near_dedup_keeps_one_document_of_each_component_at_exact_similarity(spa
     assert p.near_dedup(spark, empty.select("doc_id", "text", "lang", "source", F.lit(1).cast("bigint").alias("n_chars")), "").count() == 0
 
 
+def families(n, seed, shared=100, own=(18, 26)):
+    """Texts in n families that have most of their words in common with all others; two of a family differ in a few words at one end."""
+    r = random.Random(seed)
+    common = [f"c{i}" for i in range(shared)]
+    for k in range(n):
+        mine = [f"f{k}w{i}" for i in range(r.randrange(*own))]
+        for _ in range(2):
+            tail = [f"t{r.randrange(10**9)}" for _ in range(r.randrange(8, 14))]
+            yield " ".join(mine[:12] + common + mine[12:] + tail)
+
+
+def test_near_dedup_loses_no_link_below_keys_of_many_texts(spark):
+    import corpus_pipeline as p
+
+    texts = list(families(150, 31))
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = sorted({find(i) for i in range(len(texts))})
+    assert 100 < len(want) < 250  # neither one component nor all apart
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars long")
+    assert sorted(d.doc_id for d in p.near_dedup(spark, docs, "").collect()) == want
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_exact_pairs_of_sets_are_complete(spark, monkeypatch, block):
+    from schemaloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    r = random.Random(8)
+    base = [r.sample(range(10**6), r.choice([1, 4, 9, 30, 31, 80])) for _ in range(25)]
+    sets = []
+    for b in base:
+        for _ in range(8):
+            kept = r.sample(b, len(b) - r.randrange(len(b) // 4 + 1))
+            sets.append(sorted({*kept, *r.sample(range(10**6), r.randrange(len(b) // 8 + 1)), *(range(3) if r.random() < 0.5 else ())}))
+    roots = [r.randrange(40) for _ in sets]
+    rows = spark.createDataFrame([(i, roots[i], s) for i, s in enumerate(sets)], "t bigint, root bigint, set array<bigint>")
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if roots[i] != roots[j] and 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    found = near_copies.exact_pairs(_common.spool(rows, "test-sets"))
+    got = {(x.a, x.b) for x in near_copies._verified(found, rows.select("t", "set")).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_near_dedup_keeps_rows_without_an_id_and_unlike_texts_of_one_id(spark):
     import corpus_pipeline as p
 
